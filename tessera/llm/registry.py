@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import exact, mixing, simhash, substring
+from . import bpe, exact, mixing, simhash, substring, unigram
 from .common import table
 
 
@@ -24,5 +22,13 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op4_exact_dedup, op5_mixing)}
+def op6_token_counts(spark, sf_dir):
+    return unigram.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op4_exact_dedup, op5_mixing, op6_token_counts, op7_byte_bpe)}
 ORACLE_SQL = {"op4_exact_dedup": exact.EXACT_SQL}
