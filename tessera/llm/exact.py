@@ -39,20 +39,21 @@ def _digest(text: Column) -> Column:
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX, digest_all: bool = False) -> DataFrame:
     """Of texts that are identical after lower-casing A-Z, the row with the largest doc_id stays.
 
-    Returns doc_id, keep_id, group_size, kept and text_sha256, the last null for
-    texts whose full content was not needed, unless digest_all."""
+    Returns doc_id, keep_id, group_size, kept, text_sha256 (null for texts whose full
+    content was not needed, unless digest_all) and text_hash (64 bits of the text as it
+    stands, null like 42, to tell rows of one doc_id apart)."""
     tune(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("len", F.octet_length("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).withColumn("len", F.octet_length("text"))
     by_length = _told(base, _with_company(base.select("len"), ["len"], "hit_len"), ["len"])
     head = by_length.withColumn("pre", F.when(F.col("hit_len"), F.xxhash64(ascii_lower(F.substring("text", 1, prefix)))))
     by_prefix = _told(head, _with_company(head.filter("hit_len").select("len", "pre"), ["len", "pre"], "hit_pre"), ["len", "pre"])
     wanted = F.lit(True) if digest_all else F.coalesce(F.col("hit_pre"), F.lit(False))
-    rows = by_prefix.select("doc_id", "len", "pre", "hit_pre", F.when(wanted, _digest(F.col("text"))).alias("text_sha256"))
+    rows = by_prefix.select("doc_id", "text_hash", "len", "pre", "hit_pre", F.when(wanted, _digest(F.col("text"))).alias("text_sha256"))
     groups = rows.filter("hit_pre").groupBy("len", "pre", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = groups.select(F.col("text_sha256").alias("key"), "keep_id", "group_size", F.lit(True).alias("met"))
     keyed = rows.withColumn("key", F.coalesce("text_sha256", F.concat(F.lit("-"), F.coalesce("doc_id", F.lit(0)), F.lit("-"), "len")))
-    joined = keyed.join(groups, "key", "left").select("doc_id", F.when(F.col("met"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    joined = keyed.join(groups, "key", "left").select("doc_id", F.when(F.col("met"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256", "text_hash")
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash")
 
 
 EXACT_SQL = """

@@ -9,13 +9,13 @@ reduction tree: cells of a source's documents of like size (about CELL each, sor
 by size, so that mass moves between neighbours in size) settle all but one each,
 the residuals meet in cells of FAN cells, then of a whole size class, then across
 the size classes of a source; the last one is drawn. A cell is the only thing that
-a task gathers. Cells are cut by a hash of doc_id and size as finely as the whole
+a task gathers. Cells are cut by a hash of doc_id and text as finely as the whole
 table asks for, so a source with a third of all rows has many, and all random
 numbers are hashes, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source, last in order;
-a null doc_id is a document; repeated rows are documents of their own (of equal
-doc_id and size in one cell, so doc_id should be nearly a key); an empty table gives
+a null doc_id is a document; repeated rows are documents of their own (those of equal
+doc_id and text meet in one cell, so that pair should be nearly a key); an empty table gives
 an empty result."""
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import count_words, settle, tune
 CELL, FAN_BITS, MOST_COPIES, HASH_BITS = 64, 7, 3, 40
 #: Source totals up to this many rows are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
-_DECIDED = "array<struct<size:bigint,h:bigint,doc_id:bigint,p:double,extra:int>>"
+_DECIDED = "array<struct<size:bigint,h:bigint,doc_id:bigint,text_hash:bigint,p:double,extra:int>>"
 
 
 def _uniform(*parts: Column) -> Column:
@@ -45,7 +45,7 @@ def _duels(units: Column, seed: int) -> Column:
         total = res["p"] + x["p"]
         wins = _uniform(F.lit(seed), res["doc_id"], res["h"], x["doc_id"], x["h"]) < F.when(total < 1, x["p"] / F.when(total > 0, total)).otherwise((1 - res["p"]) / (2 - total))
         goes_on = F.coalesce(wins, F.lit(True)) == (total < 1)
-        who = lambda y, p, extra: F.struct(y["size"].alias("size"), y["h"].alias("h"), y["doc_id"].alias("doc_id"), p.alias("p"), extra.alias("extra"))
+        who = lambda y, p, extra: F.struct(y["size"].alias("size"), y["h"].alias("h"), y["doc_id"].alias("doc_id"), y["text_hash"].alias("text_hash"), p.alias("p"), extra.alias("extra"))
         none, rest = F.lit(None).cast("int"), F.when(total < 1, total).otherwise(total - 1)
         done = F.when(total < 1, F.lit(0)).otherwise(F.lit(1))
         return F.struct(
@@ -54,15 +54,15 @@ def _duels(units: Column, seed: int) -> Column:
         )
 
     first = units[0]
-    start = F.struct(F.struct(first["size"].alias("size"), first["h"].alias("h"), first["doc_id"].alias("doc_id"), first["p"].alias("p"), F.lit(None).cast("int").alias("extra")).alias("res"), F.array().cast(_DECIDED).alias("out"))
+    start = F.struct(F.struct(first["size"].alias("size"), first["h"].alias("h"), first["doc_id"].alias("doc_id"), first["text_hash"].alias("text_hash"), first["p"].alias("p"), F.lit(None).cast("int").alias("extra")).alias("res"), F.array().cast(_DECIDED).alias("out"))
     return F.aggregate(F.slice(units, F.lit(2), F.size(units)), start, duel, lambda acc: F.concat(acc["out"], F.array(acc["res"])))
 
 
 def _round(units: DataFrame, keys: list[Column], seed: int, order: tuple[str, ...]) -> DataFrame:
     named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    unit = F.struct(*order, *[c for c in ("size", "h", "doc_id", "p") if c not in order])
+    unit = F.struct(*order, *[c for c in ("size", "h", "doc_id", "text_hash", "p") if c not in order])
     cells = units.groupBy(*named).agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    flat = F.transform("units", lambda u: F.struct(u["size"].alias("size"), u["h"].alias("h"), u["doc_id"].alias("doc_id"), u["p"].alias("p")))
+    flat = F.transform("units", lambda u: F.struct(u["size"].alias("size"), u["h"].alias("h"), u["doc_id"].alias("doc_id"), u["text_hash"].alias("text_hash"), u["p"].alias("p")))
     cells = cells.select(*[f"k{i}" for i in range(len(keys))], flat.alias("units"))
     return settle(cells.select(F.col("k0").alias("source"), F.explode(_duels(F.col("units"), seed)).alias("u")).select("source", "u.*").withColumn("cls", _size_class(F.col("size"))))
 
@@ -86,16 +86,16 @@ def targets(sized: DataFrame, most: float = MOST_COPIES) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 17, most: float = MOST_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target (its source's), copies (0 to most) and taken (copies x size)."""
+    """doc_id, source, size, source_size, target (its source's), copies (0 to most), taken (copies x size) and text_hash."""
     tune(docs.sparkSession)
-    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size")))
+    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
     goals = settle(targets(sized, most)).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goals = goals.withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
     named = goals.withColumnRenamed("source", "goal_source")
     aimed = sized.join(named, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    units = aimed.filter("p > 0").select("source", "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << HASH_BITS)).alias("h"), "doc_id", "p").withColumn("cls", _size_class(F.col("size")))
+    units = aimed.filter("p > 0").select("source", "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << HASH_BITS)).alias("h"), "doc_id", "text_hash", "p").withColumn("cls", _size_class(F.col("size")))
     bits = max(0, math.ceil(math.log2(max(1, sized.count()) / CELL)))
     settled, live = [], units
     while True:
@@ -111,6 +111,6 @@ def mix(docs: DataFrame, seed: int = 17, most: float = MOST_COPIES) -> DataFrame
     extra = settled[0]
     for more in settled[1:]:
         extra = extra.union(more)
-    decided = extra.select("source", "doc_id", "size", "extra").join(named, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    plain = aimed.filter("p <= 0").select("source", "doc_id", "size", F.lit(0).alias("extra"), "source_size", "target", "rate", "base", "p")
-    return decided.select(plain.columns).union(plain).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"), ((F.col("base") + F.col("extra")) * F.col("size")).alias("taken"))
+    decided = extra.select("source", "doc_id", "text_hash", "size", "extra").join(named, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    plain = aimed.filter("p <= 0").select("source", "doc_id", "text_hash", "size", F.lit(0).alias("extra"), "source_size", "target", "rate", "base", "p")
+    return decided.select(plain.columns).union(plain).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"), ((F.col("base") + F.col("extra")) * F.col("size")).alias("taken"), "text_hash")

@@ -50,8 +50,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            made = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
 
@@ -67,11 +67,13 @@ def links(fingerprints: DataFrame, max_distance: int = DISTANCE) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (long), fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    """doc_id, fp (long), fingerprint (16 hex digits), component_id (smallest doc_id reachable
+    over links), text_hash (64 bits, to tell rows of one doc_id apart) and root (the component's least fingerprint)."""
     tune(docs.sparkSession)
-    made = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    made = settle(base.mapInArrow(_fingerprints(shingle, seed), "doc_id long, text_hash long, fp long"))
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), max_distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(label, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    return made.join(label, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
