@@ -10,8 +10,10 @@ once a chunk, and positions in about ten bits; no text is shuffled.
 
 Chunks and buckets are bounded: a chunk by CHUNK (or one longer text), a bucket by
 its share of the distinct words. Rows are told apart by their place in the chunk,
-not by doc_id. Packed chunks are written to the shared folder once, so what follows
-does not depend on the order in which rows arrive, and survives lost executors.
+not by doc_id. Packed chunks go through one exchange by chunk, which both the words'
+way and the texts' places read, so they are packed once and stored once; a lost part
+of it is packed again alike as long as docs are read from files (settle() them first
+if they are not), and a chunk whose words do not all come back is an error.
 
 Defined results: null is the empty text, which has no ids; null and repeated
 doc_ids are rows like any other; an empty table gives an empty result."""
@@ -25,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, tune
+from .common import tune
 
 CHUNK = 16 << 20
 _PACKED = "chunk long, bucket int, n int, words binary, docs binary, lengths binary, places binary"
@@ -121,6 +124,12 @@ def _chunks(pattern: str, buckets: int, size: int):
     return run
 
 
+def _only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter in Python: one in SQL would move below the exchange and make it two."""
+    for batch in batches:
+        yield batch.filter(pc.greater_equal(batch.column(1), 0)).select(["chunk", "bucket", "n", "words"])
+
+
 def _encode(ranks_data, pattern: str):
     """Words of a bucket to ids, each distinct word once; blocks of a bucket stand together."""
 
@@ -172,7 +181,7 @@ def _reassemble(ranks_data, with_ids: bool):
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids)
         if not left.num_rows:
             return schema.empty_table()
-        head = left.to_pylist()[0]
+        head = left.filter(pc.less(left.column("bucket"), 0)).to_pylist()[0]
         n_words = int(_unpack(head["words"])[0])
         places = _unpack(head["places"])
         rank_of, places = places[:n_words], places[n_words:]
@@ -212,11 +221,11 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     pattern = pattern or default_pattern()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = settle(base.mapInArrow(_chunks(pattern, max(64, 2 * parts), chunk), _PACKED))
-    words = packed.filter("bucket >= 0").select("chunk", "bucket", "n", "words").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    packed = base.mapInArrow(_chunks(pattern, max(64, 2 * parts), chunk), _PACKED).repartition(parts, "chunk")
+    words = packed.mapInArrow(_only_words, "chunk long, bucket int, n int, words binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encode(data, pattern), "chunk long, bucket int, n int, lengths binary, ids binary")
     result = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return packed.filter("bucket < 0").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(data, with_ids), result)
+    return packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(data, with_ids), result)
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
