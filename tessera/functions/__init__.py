@@ -18,11 +18,13 @@ from ..shipping import ship
 from . import native
 
 _SUFFIX = {"struct<x:double,y:double>": "point2d", "array<struct<x:double,y:double>>": "linestring2d", "array<array<struct<x:double,y:double>>>": "polygon2d", "struct<min_x:double,min_y:double,max_x:double,max_y:double>": "box2d", "struct<min_x:float,min_y:float,max_x:float,max_y:float>": "box2df"}
+#: SQL aggregates over GEOMETRY
+AGGREGATES = ("st_extent_agg", "st_envelope_agg", "st_union_agg", "st_intersection_agg")
 _ALIASES = {"st_within_point2d_polygon2d": "st_within_point2d", "st_contains_polygon2d_point2d": "st_contains_polygon2d", "st_distance_point2d_point2d": "st_distance_point2d", "st_intersects_box2d_box2d": "st_intersects_box2d", "st_numpoints": "st_npoints", "st_numinteriorrings": "st_ninteriorrings"}
 
 
 def names() -> list[str]:
-    return sorted({n for n, *_ in spec.FUNCTIONS if n[0] != "_"} | set(native.FUNCTIONS))
+    return sorted({n for n, *_ in spec.FUNCTIONS if n[0] != "_"} | set(native.FUNCTIONS) | set(AGGREGATES))
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -34,6 +36,7 @@ def register(spark: SparkSession) -> SparkSession:
     spark.sql(f"ADD JAR '{jar}'")
     for name, _, result, _ in spec.FUNCTIONS:
         spark.udf.registerJavaFunction(name, f"tessera.Udfs${spec.class_name(name)}", _parse_datatype_string(result))
+    _register_aggregates(spark)
     for name in native.ORDER:
         params, result, body = native.FUNCTIONS[name]
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
@@ -41,6 +44,14 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _register_aggregates(spark: SparkSession) -> None:
+    """The aggregates are registered by their own class, which the loader of added jars finds."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    made = loader.loadClass("tessera.Aggregates").getDeclaredConstructor(array(jvm.java.lang.Class, 0)).newInstance(array(jvm.java.lang.Object, 0))
+    made.accept(spark._jsparkSession)
+
+
 def st(df: DataFrame, name: str, *args: Column | str) -> Column:
     """The function ``name`` applied to columns (names or Columns) of df, by their types."""
     columns = [F.col(a) if isinstance(a, str) else a for a in args]
@@ -58,4 +69,5 @@ def documentation() -> list[tuple[str, str, str]]:
     """Name, parameters and result of each function."""
     codes = {"g": "GEOMETRY", "d": "DOUBLE", "i": "INT", "s": "STRING", "b": "BOOLEAN", "l": "ARRAY<GEOMETRY>", "r": "STRUCT"}
     jvm = [(n, ", ".join(codes[a] for a in args), "GEOMETRY" if out == "binary" else out.upper()) for n, args, out, _ in spec.FUNCTIONS if n[0] != "_"]
+    jvm += [(n, "GEOMETRY", "GEOMETRY (aggregate)") for n in AGGREGATES]
     return sorted(jvm + [(n, re.sub(r"\s+", " ", p), r) for n, (p, r, _) in native.FUNCTIONS.items()])

@@ -132,8 +132,9 @@ FUNCTIONS = {
     "st_length_spheroid_linestring2d": (f"l {LINE}", "DOUBLE", "st_length_spheroid(st_geometry_linestring2d(l))"),
     "st_perimeter_spheroid_polygon2d": (f"p {POLY}", "DOUBLE", "st_perimeter_spheroid(st_geometry_polygon2d(p))"),
     "st_area_spheroid_polygon2d": (f"p {POLY}", "DOUBLE", "st_area_spheroid(st_geometry_polygon2d(p))"),
-    "st_hilbert_box2d": (f"b {BOX}, bounds {BOX}", "BIGINT", "st_hilbert_xy((b.min_x + b.max_x) / 2, (b.min_y + b.max_y) / 2, bounds)"),
-    "st_hilbert_box2df": (f"b {BOX_F}, bounds {BOX_F}", "BIGINT", f"st_hilbert_xy((CAST(b.min_x AS DOUBLE) + b.max_x) / 2, (CAST(b.min_y AS DOUBLE) + b.max_y) / 2, CAST(bounds AS {BOX}))"),
+    "st_hilbert_box2d": (f"b {BOX}, bounds {BOX}", "BIGINT", "st_hilbert_xy(b.min_x + (b.max_x - b.min_x) / 2, b.min_y + (b.max_y - b.min_y) / 2, bounds)"),
+    "st_isvalid_linestring2d": (f"l {LINE}", "BOOLEAN", "IF(size(l) = 1, false, st_isvalid(st_geometry_linestring2d(l)))"),
+    "st_isvalid_polygon2d": (f"p {POLY}", "BOOLEAN", "IF(exists(p, r -> size(r) < 4 OR get(r, 0) <> get(r, size(r) - 1)), false, st_isvalid(st_geometry_polygon2d(p)))"),
     # optional arguments of the JVM functions
     "st_geomfromtext": ("wkt STRING, ignore_invalid BOOLEAN DEFAULT false", "BINARY", "_st_geomfromtext(wkt, ignore_invalid)"),
     "st_assvg": ("g BINARY, rel BOOLEAN DEFAULT false, digits INT DEFAULT 15", "STRING", "_st_assvg(g, rel, digits)"),
@@ -148,4 +149,4 @@ FUNCTIONS = {
     "st_transform_box2d": (f"b {BOX}, source STRING, target STRING, always_xy BOOLEAN DEFAULT false", BOX, "_st_transform_box2d(b, source, target, always_xy)"),
 }
 #: functions that others call come first
-ORDER = sorted(FUNCTIONS, key=lambda n: (("st_geometry_" in n or "_from_geometry" in n) + 2 * ("spheroid" in n or "fromwkb" in n), n))
+ORDER = sorted(FUNCTIONS, key=lambda n: (("st_geometry_" in n or "_from_geometry" in n) + 2 * ("spheroid" in n or "fromwkb" in n or "isvalid" in n), n))

@@ -63,6 +63,7 @@ FUNCTIONS = [
     ("st_hilbert", "gr", "long", "Geo.hilbert(a, b)"),
     ("st_hilbert_world", "g", "long", "Geo.hilbert(a)"),
     ("st_hilbert_xy", "ddr", "long", "Geo.hilbert(a, b, c)"),
+    ("st_hilbert_box2df", "rr", "long", "Geo.hilbertF(a, b)"),
     ("st_quadkey", "gi", "string", "Geo.quadKey(a, b)"),
     ("st_quadkey_xy", "ddi", "string", "Geo.quadKey(a, b, c)"),
     # topology

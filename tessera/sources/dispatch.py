@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import functions
 from . import files, osm, shapefile
@@ -27,8 +26,26 @@ DRIVERS = [
 ]
 
 
+_BOX, _POINT = "STRUCT<min_x:DOUBLE,min_y:DOUBLE,max_x:DOUBLE,max_y:DOUBLE>", "STRUCT<x:DOUBLE,y:DOUBLE>"
+_UNIT = "pmod(xxhash64(id, seed, '{0}'), 4503599627370496) / 4503599627370496D"
+_GENERATE = f"""CREATE OR REPLACE TEMPORARY FUNCTION st_generatepoints(box {_BOX}, n BIGINT, seed BIGINT DEFAULT 0) RETURNS TABLE(point {_POINT}) RETURN
+ SELECT named_struct('x', box.min_x + {_UNIT.format("x")} * (box.max_x - box.min_x), 'y', box.min_y + {_UNIT.format("y")} * (box.max_y - box.min_y))
+ FROM (SELECT 1 AS one) LATERAL VIEW explode(sequence(0L, IF(n < 0, raise_error('the number of points must not be negative'), n) DIV 65536)) c AS chunk
+ LATERAL VIEW explode(sequence(chunk * 65536, chunk * 65536 + 65535)) i AS id WHERE id < n"""
+
+
 def register(spark: SparkSession) -> SparkSession:
-    return functions.register(spark)
+    """All functions of the session, with the table functions st_generatepoints, st_drivers and st_list_proj_crs."""
+    functions.register(spark)
+    if not getattr(spark, "_tessera_tables", False):
+        spark.sql(_GENERATE)
+        for name, df in (("st_drivers", st_drivers(spark)), ("st_list_proj_crs", st_list_proj_crs(spark))):
+            columns = ", ".join(f"{c} {k}" for c, k in df.dtypes)
+            literal = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "\\'") + "'"
+            rows = ", ".join("(" + ", ".join(f"CAST({literal(v)} AS {k})" for v, (_, k) in zip(r, df.dtypes, strict=True)) + ")" for r in df.collect())
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE({columns}) RETURN SELECT * FROM VALUES {rows}")
+        spark._tessera_tables = True
+    return spark
 
 
 def driver_of(path: str) -> str:
@@ -218,11 +235,10 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         import pandas as pd
 
-        names = [f.name for f in T._parse_datatype_string(osm.SCHEMA).fields]
         for pdf in batches:
             for blob in pdf["blob"]:
                 found = list(osm.rows(osm.inflate(bytes(blob))))
-                yield pd.DataFrame(found, columns=names, dtype=object)
+                yield pd.DataFrame(found, columns=osm.COLUMNS, dtype=object)
 
     blobs = files.whole(spark, path).select("path", "content").mapInArrow(cut, "file string, i bigint, blob binary")
     return blobs.repartition("file", "i").mapInPandas(decode, osm.SCHEMA)
@@ -297,7 +313,7 @@ def st_drivers(spark: SparkSession) -> DataFrame:
 
 
 def st_list_proj_crs(spark: SparkSession) -> DataFrame:
-    register(spark)
+    functions.register(spark)
     text = spark.sql("SELECT _st_crs_table(0)").first()[0]
     rows = []
     for line in text.strip().split("\n"):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SCHEMA = "kind string, id bigint, tags map<string,string>, refs array<bigint>, lat double, lon double, ref_roles array<string>, ref_types array<string>"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 _TYPES = ("node", "way", "relation")
 
 
