@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import SLICE_BYTES
 
@@ -57,7 +58,7 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -
 def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """Parts of a string column of about SLICE_BYTES, with the row each begins at; one longer text is a part of its own."""
     at, n = 0, len(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
     while at < n:
         before = ends[at - 1] if at else 0
@@ -68,7 +69,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: none) and the bounds of its rows."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     buf = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
