@@ -1,6 +1,6 @@
 """The JVM functions: SQL name, argument codes, result, Java expression over a, b, c, ...
 
-Codes: g geometry (WKB), d double, i int, s string, b boolean, l array of geometries, r struct, w WKB."""
+Codes: g geometry (WKB), d double, i int, s string, b boolean, l array of geometries, p POLYGON_2D, r struct, w WKB."""
 
 BOX = "struct<min_x:double,min_y:double,max_x:double,max_y:double>"
 BOX_F = "struct<min_x:float,min_y:float,max_x:float,max_y:float>"
@@ -38,6 +38,9 @@ FUNCTIONS = [
     ("st_flipcoordinates", "g", "binary", "Geo.flip(a)"),
     ("st_extent", "g", BOX, "Geo.extent(a)"),
     ("st_extent_wkb", "g", BOX, "Geo.extentWkb(a)"),
+    ("st_extent_polygon2d", "p", BOX, "Geo.extentRings(a)"),
+    ("st_contains_polygon2d", "pr", "boolean", "Geo.insideRings(a, b)"),
+    ("st_within_point2d", "rp", "boolean", "Geo.insideRings(b, a)"),
     ("st_extent_approx", "g", BOX_F, "Geo.extentApprox(a)"),
     # accessors and measures
     *[(f"st_{n}", "g", "double", f"Geo.ordinate(a, {i})") for i, n in enumerate("xyzm")],
@@ -101,7 +104,7 @@ FUNCTIONS = [
     ("_st_crs_table", "i", "string", "Crs.table()"),
 ]
 
-_JAVA = {"g": "byte[]", "d": "Double", "i": "Integer", "s": "String", "b": "Boolean", "l": "scala.collection.Seq<?>", "r": "Row"}
+_JAVA = {"g": "byte[]", "d": "Double", "i": "Integer", "s": "String", "b": "Boolean", "l": "scala.collection.Seq<?>", "p": "scala.collection.Seq<?>", "r": "Row"}
 _CAST = {"d": "((Number) {0}).doubleValue()", "i": "((Number) {0}).intValue()"}
 
 

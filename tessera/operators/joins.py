@@ -21,7 +21,7 @@ BOUNDED = ("equals", "intersects", "touches", "crosses", "within", "contains", "
 
 
 def bounds_of(df: DataFrame, geom: str) -> Column:
-    """The bounds of a column by its type: POINT_2D, BOX_2D, LINESTRING_2D or GEOMETRY."""
+    """The bounds of a column by its type: POINT_2D, BOX_2D, LINESTRING_2D, POLYGON_2D or GEOMETRY."""
     kind, c = df.schema[geom].dataType.simpleString(), F.col(geom)
     if kind.startswith("struct<x:"):
         return F.struct(c["x"].alias("min_x"), c["y"].alias("min_y"), c["x"].alias("max_x"), c["y"].alias("max_y"))
@@ -30,7 +30,7 @@ def bounds_of(df: DataFrame, geom: str) -> Column:
     if kind.startswith("array<struct"):
         return F.call_function("st_extent_linestring2d", c)
     if kind.startswith("array<array"):
-        return F.call_function("st_extent_linestring2d", F.get(c, 0))
+        return F.call_function("st_extent_polygon2d", c)
     return F.call_function("st_extent", c)
 
 
