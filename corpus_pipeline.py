@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact, mixing, simhash, toxicity
+from tessera.llm import bpe, exact, mixing, near, toxicity
 from tessera.llm.common import settle, table
 
 
@@ -37,8 +37,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest doc_id stays (a null one if there is no other)."""
-    groups = simhash.simhash_groups(docs)
+    """Of documents linked by a similarity of 0.8 over five-word shingles, or by op2's fingerprints, the one with the smallest doc_id stays (a null one if there is no other)."""
+    groups = near.near_groups(docs)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best"))
     other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
     return _keep(docs, groups.join(best, "root").filter(other))
