@@ -101,14 +101,6 @@ SQL: dict[str, tuple[str, str]] = {
         f"WITH {BOX} SELECT p_partkey, 'MULTIPOLYGON' AS kind, 2 AS n, CAST(10 AS BIGINT) AS np, part, (x1 - x0) * (y1 - y0) AS area FROM part_box, (SELECT unnest([1, 2]) AS part)",
     ),
     "collection_extract": (f"WITH {BOXES}, c AS (SELECT p_partkey, st_collect(array(g, st_centroid(g), st_exteriorring(g))) AS g FROM boxes) SELECT p_partkey, st_geometrytype(g) AS kind, st_geometrytype(st_collectionextract(g)) AS k0, st_ngeometries(st_collectionextract_type(g, 1)) AS n1, st_length(st_collectionextract_type(g, 2)) AS l2, st_geometrytype(st_multi(st_centroid(g))) AS m FROM c", f"WITH {BOX} SELECT p_partkey, 'GEOMETRYCOLLECTION' AS kind, 'MULTIPOLYGON' AS k0, 1 AS n1, 2 * ((x1 - x0) + (y1 - y0)) AS l2, 'MULTIPOINT' AS m FROM part_box"),
-    "predicates": (
-        f"WITH {BOXES}, o AS (SELECT p_partkey AS q, b AS ob, g AS og FROM boxes WHERE p_partkey % 40 = 7) SELECT p_partkey, q, st_intersects(g, og) AS i, st_disjoint(g, og) AS d, st_contains(g, og) AS c, st_within(g, og) AS w, st_covers(g, og) AS cv, st_coveredby(g, og) AS cb, st_equals(g, og) AS e, st_touches(g, og) AS t, st_overlaps(g, og) AS ov, st_containsproperly(g, og) AS cp, st_crosses(g, og) AS cr, st_intersects_extent(g, og) AS ie, st_intersects_box2d(b, ob) AS ib FROM boxes CROSS JOIN o WHERE p_partkey % 7 = 0",
-        f"WITH {BOX}, r AS (SELECT a.p_partkey, b.p_partkey AS q, {_HIT} AS i, a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AS inner_hit, a.x0 <= b.x0 AND a.x1 >= b.x1 AND a.y0 <= b.y0 AND a.y1 >= b.y1 AS c, a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AS w, a.x0 < b.x0 AND a.x1 > b.x1 AND a.y0 < b.y0 AND a.y1 > b.y1 AS cp FROM part_box a, part_box b WHERE b.p_partkey % 40 = 7 AND a.p_partkey % 7 = 0) SELECT p_partkey, q, i, NOT i AS d, c, w, c AS cv, w AS cb, c AND w AS e, i AND NOT inner_hit AS t, inner_hit AND NOT c AND NOT w AS ov, cp, false AS cr, i AS ie, i AS ib FROM r",
-    ),
-    "overlay_areas": (
-        f"WITH {BOXES}, o AS (SELECT p_partkey AS q, g AS og FROM boxes WHERE p_partkey % 40 = 7) SELECT p_partkey, q, st_area(st_intersection(g, og)) AS i, st_area(st_union(g, og)) AS u, st_area(st_difference(g, og)) AS d FROM boxes CROSS JOIN o WHERE p_partkey % 7 = 0",
-        f"WITH {BOX}, r AS (SELECT a.p_partkey, b.p_partkey AS q, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba FROM part_box a, part_box b WHERE b.p_partkey % 40 = 7 AND a.p_partkey % 7 = 0) SELECT p_partkey, q, i, aa + ba - i AS u, aa - i AS d FROM r",
-    ),
     "buffer_area": (f"WITH {POINTS} SELECT o_orderkey, round(st_area(st_buffer(g, 2D)), 6) AS a, st_npoints(st_buffer(g, 1D, 4)) AS n, st_area(st_buffer(st_makeline(g, st_point(st_x(g) + 4, st_y(g))), 1D, 8, 'CAP_FLAT')) AS flat FROM points", f"WITH {PTS} SELECT o_orderkey, round(64 * sin(2 * pi() / 32), 6) AS a, CAST(17 AS BIGINT) AS n, CAST(8 AS DOUBLE) AS flat FROM order_pt"),
     "simplify_reverse": (
         f"WITH {BOXES} SELECT p_partkey, st_npoints(st_simplify(st_makeline_list(array(st_point(b.min_x, b.min_y), st_point(b.min_x + 1, b.min_y), st_point(b.min_x + 2, b.min_y))), 0.5D)) AS n, st_npoints(st_simplifypreservetopology(g, 0.25D)) AS np, st_x(st_startpoint(st_reverse(st_makeline(st_point(b.min_x, b.min_y), st_point(b.max_x, b.max_y))))) AS rx, st_equals(st_normalize(g), g) AS same, st_isvalid(st_makevalid(g)) AS ok, st_x(st_reduceprecision(st_point(b.min_x + 0.26D, b.min_y), 0.1D)) AS px FROM boxes",
@@ -178,6 +170,24 @@ def box_self_join(spark, d):
     return operators.spatial_join(_boxes(spark, d), other, "bg", "qg", "intersects").select("p_partkey", "q")
 
 
+def _box_pairs(spark, d):
+    """All pairs of boxes whose bounds meet; apart counts the boxes that the left one does not meet."""
+    boxes = _boxes(spark, d)
+    other = boxes.select(F.col("p_partkey").alias("q"), F.col("b").alias("ob"), F.col("bg").alias("og"))
+    met = operators.spatial_join(boxes, other, "b", "ob", "bounds")
+    apart = met.groupBy("p_partkey").agg(F.count("*").alias("n")).crossJoin(F.broadcast(boxes.agg(F.count("*").alias("total"))))
+    return met.join(apart.select("p_partkey", (F.col("total") - F.col("n")).alias("apart")), "p_partkey")
+
+
+def predicates(spark, d):
+    named = {"intersects": "i", "disjoint": "d", "contains": "c", "within": "w", "covers": "cv", "coveredby": "cb", "equals": "e", "touches": "t", "overlaps": "ov", "containsproperly": "cp", "crosses": "cr", "intersects_extent": "ie"}
+    return _box_pairs(spark, d).select("p_partkey", "q", "apart", *[F.call_function(f"st_{f}", "bg", "og").alias(c) for f, c in named.items()], F.call_function("st_intersects_box2d", "b", "ob").alias("ib"))
+
+
+def overlay_areas(spark, d):
+    return _box_pairs(spark, d).select("p_partkey", "q", "apart", *[F.call_function("st_area", F.call_function(f"st_{f}", "bg", "og")).alias(c) for f, c in (("intersection", "i"), ("union", "u"), ("difference", "d"))])
+
+
 def dwithin_join(spark, d):
     custs = frame(spark, d, CPT, "SELECT c_custkey, st_point(x, y) AS cg FROM cust_pt WHERE c_custkey % 25 = 0")
     return operators.spatial_join(_points(spark, d), custs, "g", "cg", "dwithin", distance=3.0).select("o_orderkey", "c_custkey")
@@ -235,6 +245,8 @@ FRAMES: dict[str, tuple] = {
     "bbox_range_join": (bbox_range_join, f"WITH {PTS}, {BOX} SELECT o_orderkey, p_partkey FROM order_pt o JOIN part_box b ON {_IN}"),
     "spatial_join_within": (spatial_join_within, f"WITH {PTS}, {BOX} SELECT o_orderkey, p_partkey FROM order_pt o JOIN part_box b ON o.x > b.x0 AND o.x < b.x1 AND o.y > b.y0 AND o.y < b.y1"),
     "box_self_join": (box_self_join, f"WITH {BOX} SELECT a.p_partkey, b.p_partkey AS q FROM part_box a JOIN {_SOME} b ON {_HIT}"),
+    "predicates": (predicates, f"WITH {BOX}, r AS (SELECT a.p_partkey, b.p_partkey AS q, (SELECT count(*) FROM part_box) - count(*) OVER (PARTITION BY a.p_partkey) AS apart, {_HIT} AS i, a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AS inner_hit, a.x0 <= b.x0 AND a.x1 >= b.x1 AND a.y0 <= b.y0 AND a.y1 >= b.y1 AS c, a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AS w, a.x0 < b.x0 AND a.x1 > b.x1 AND a.y0 < b.y0 AND a.y1 > b.y1 AS cp FROM part_box a JOIN part_box b ON {_HIT}) SELECT p_partkey, q, apart, i, NOT i AS d, c, w, c AS cv, w AS cb, c AND w AS e, i AND NOT inner_hit AS t, inner_hit AND NOT c AND NOT w AS ov, cp, false AS cr, i AS ie, i AS ib FROM r"),
+    "overlay_areas": (overlay_areas, f"WITH {BOX}, r AS (SELECT a.p_partkey, b.p_partkey AS q, (SELECT count(*) FROM part_box) - count(*) OVER (PARTITION BY a.p_partkey) AS apart, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba FROM part_box a JOIN part_box b ON {_HIT}) SELECT p_partkey, q, apart, i, aa + ba - i AS u, aa - i AS d FROM r"),
     "dwithin_join": (dwithin_join, f"WITH {PTS}, {CPT} SELECT o_orderkey, c_custkey FROM order_pt o JOIN cust_pt c ON (o.x - c.x) ** 2 + (o.y - c.y) ** 2 <= 9 WHERE c_custkey % 25 = 0"),
     "spatial_left_join": (join_kind("left"), f"WITH {PTS}, {BOX} SELECT o_orderkey, p_partkey FROM order_pt o LEFT JOIN {_SOME} b ON {_IN}"),
     "spatial_semi_join": (join_kind("semi"), f"WITH {PTS}, {BOX} SELECT o_orderkey FROM order_pt o WHERE EXISTS (SELECT 1 FROM {_SOME} b WHERE {_IN})"),
