@@ -35,3 +35,15 @@ def test_box_pairs(spark, rows, name):
             assert r.i and not r.d and r.e == (a == b) and r.t == (shared == 0)
         else:
             assert r.i == shared and r.d == (a[2] - a[0]) * (a[3] - a[1]) - shared
+
+
+@pytest.mark.parametrize("name", ["box_self_join", "spatial_left_join", "spatial_semi_join", "spatial_anti_join"])
+def test_box_joins(spark, rows, name):
+    boxes, orders, _ = rows
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, SF_SMALL).collect()), key=str)
+    if name == "box_self_join":
+        want = [(p, q) for p in boxes for q in boxes if meet(boxes[p], boxes[q])]
+    else:
+        hits = {o: [p for p, b in boxes.items() if b[0] <= x <= b[2] and b[1] <= y <= b[3]] for o, (x, y, _) in orders.items()}
+        want = {"spatial_left_join": [(o, p) for o, h in hits.items() for p in h or [None]], "spatial_semi_join": [(o,) for o, h in hits.items() if h], "spatial_anti_join": [(o,) for o, h in hits.items() if not h]}[name]
+    assert got == sorted(want, key=str)
