@@ -188,7 +188,7 @@ def overlay_areas(spark, d):
 
 
 def dwithin_join(spark, d):
-    custs = frame(spark, d, CPT, "SELECT c_custkey, st_point(x, y) AS cg FROM cust_pt WHERE c_custkey % 25 = 0")
+    custs = frame(spark, d, CPT, "SELECT c_custkey, st_point(x, y) AS cg FROM cust_pt")
     return operators.spatial_join(_points(spark, d), custs, "g", "cg", "dwithin", distance=3.0).select("o_orderkey", "c_custkey")
 
 
@@ -202,12 +202,12 @@ def join_kind(how):
 
 
 def knn_join(spark, d):
-    custs = frame(spark, d, CPT, "SELECT c_custkey, st_point2d(x, y) AS c FROM cust_pt WHERE c_custkey % 50 = 0")
+    custs = frame(spark, d, CPT, "SELECT c_custkey, st_point2d(x, y) AS c FROM cust_pt")
     return operators.knn_join(custs, _points(spark, d).select("o_orderkey", "p"), "c_custkey", "o_orderkey", "c", "p", 3, 4.0).select("c_custkey", "o_orderkey", F.col("rank").cast("bigint").alias("r"))
 
 
 def union_agg_area(spark, d):
-    cells = frame(spark, d, PTS, "SELECT o_custkey % 7 AS grp, st_makeenvelope(x, y, x + 1, y + 1) AS g FROM order_pt WHERE o_orderkey % 3 = 0")
+    cells = frame(spark, d, PTS, "SELECT o_custkey % 7 AS grp, st_makeenvelope(x, y, x + 1, y + 1) AS g FROM order_pt")
     return operators.union_agg(cells, ["grp"], "g", "u").select("grp", F.round(F.call_function("st_area", "u"), 6).alias("area"))
 
 
@@ -246,12 +246,12 @@ FRAMES: dict[str, tuple] = {
     "box_self_join": (box_self_join, f"WITH {BOX} SELECT a.p_partkey, b.p_partkey AS q FROM part_box a JOIN part_box b ON {_HIT}"),
     "predicates": (predicates, f"WITH {BOX}, r AS (SELECT a.p_partkey, b.p_partkey AS q, (SELECT count(*) FROM part_box) - count(*) OVER (PARTITION BY a.p_partkey) AS apart, {_HIT} AS i, a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AS inner_hit, a.x0 <= b.x0 AND a.x1 >= b.x1 AND a.y0 <= b.y0 AND a.y1 >= b.y1 AS c, a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AS w, a.x0 < b.x0 AND a.x1 > b.x1 AND a.y0 < b.y0 AND a.y1 > b.y1 AS cp FROM part_box a JOIN part_box b ON {_HIT}) SELECT p_partkey, q, apart, i, NOT i AS d, c, w, c AS cv, w AS cb, c AND w AS e, i AND NOT inner_hit AS t, inner_hit AND NOT c AND NOT w AS ov, cp, false AS cr, i AS ie, i AS ib FROM r"),
     "overlay_areas": (overlay_areas, f"WITH {BOX}, r AS (SELECT a.p_partkey, b.p_partkey AS q, (SELECT count(*) FROM part_box) - count(*) OVER (PARTITION BY a.p_partkey) AS apart, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba FROM part_box a JOIN part_box b ON {_HIT}) SELECT p_partkey, q, apart, i, aa + ba - i AS u, aa - i AS d FROM r"),
-    "dwithin_join": (dwithin_join, f"WITH {PTS}, {CPT} SELECT o_orderkey, c_custkey FROM order_pt o JOIN cust_pt c ON (o.x - c.x) ** 2 + (o.y - c.y) ** 2 <= 9 WHERE c_custkey % 25 = 0"),
+    "dwithin_join": (dwithin_join, f"WITH {PTS}, {CPT} SELECT o_orderkey, c_custkey FROM order_pt o JOIN cust_pt c ON (o.x - c.x) ** 2 + (o.y - c.y) ** 2 <= 9"),
     "spatial_left_join": (join_kind("left"), f"WITH {PTS}, {BOX} SELECT o_orderkey, p_partkey FROM order_pt o LEFT JOIN part_box b ON {_IN}"),
     "spatial_semi_join": (join_kind("semi"), f"WITH {PTS}, {BOX} SELECT o_orderkey FROM order_pt o WHERE EXISTS (SELECT 1 FROM part_box b WHERE {_IN})"),
     "spatial_anti_join": (join_kind("anti"), f"WITH {PTS}, {BOX} SELECT o_orderkey FROM order_pt o WHERE NOT EXISTS (SELECT 1 FROM part_box b WHERE {_IN})"),
-    "knn_join": (knn_join, f"WITH {PTS}, {CPT} SELECT c_custkey, o_orderkey, r FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt((o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y)), o_orderkey) AS r FROM order_pt o, cust_pt c WHERE c_custkey % 50 = 0) WHERE r <= 3"),
-    "union_agg_area": (union_agg_area, f"WITH {PTS} SELECT o_custkey % 7 AS grp, CAST(count(DISTINCT (x, y)) AS DOUBLE) AS area FROM order_pt WHERE o_orderkey % 3 = 0 GROUP BY o_custkey % 7"),
+    "knn_join": (knn_join, f"WITH {PTS}, {CPT} SELECT c_custkey, o_orderkey, r FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt((o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y)), o_orderkey) AS r FROM order_pt o, cust_pt c) WHERE r <= 3"),
+    "union_agg_area": (union_agg_area, f"WITH {PTS} SELECT o_custkey % 7 AS grp, CAST(count(DISTINCT (x, y)) AS DOUBLE) AS area FROM order_pt GROUP BY o_custkey % 7"),
     "intersection_agg_area": (intersection_agg_area, f"WITH {BOX} SELECT p_partkey % 50 AS grp, CAST(greatest(0, min(x1) + 50 - max(x0) + 100) * greatest(0, min(y1) + 50 - max(y0) + 100) AS DOUBLE) AS area FROM part_box GROUP BY p_partkey % 50"),
     "makeline_agg": (makeline_agg, "WITH e AS (SELECT user_id, event_id, CAST(user_id % 64 AS DOUBLE) AS x, CAST(event_id % 64 AS DOUBLE) AS y FROM events), s AS (SELECT *, lag(y) OVER (PARTITION BY user_id ORDER BY event_id) AS py FROM e) SELECT user_id, count(*) AS n, round(coalesce(sum(abs(y - py)), 0), 6) AS length FROM s GROUP BY user_id"),
     "layout_window": (layout_window, f"WITH {BOX} SELECT p_partkey FROM part_box WHERE x0 <= 40 AND x1 >= 20 AND y0 <= 40 AND y1 >= 20"),

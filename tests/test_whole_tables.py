@@ -47,3 +47,15 @@ def test_box_joins(spark, rows, name):
         hits = {o: [p for p, b in boxes.items() if b[0] <= x <= b[2] and b[1] <= y <= b[3]] for o, (x, y, _) in orders.items()}
         want = {"spatial_left_join": [(o, p) for o, h in hits.items() for p in h or [None]], "spatial_semi_join": [(o,) for o, h in hits.items() if h], "spatial_anti_join": [(o,) for o, h in hits.items() if not h]}[name]
     assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["dwithin_join", "knn_join", "union_agg_area"])
+def test_points(spark, rows, name):
+    _, orders, customers = rows
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, SF_SMALL).collect()))
+    if name == "union_agg_area":
+        want = [(g, float(len({(x, y) for x, y, c in orders.values() if c % 7 == g}))) for g in {c % 7 for _, _, c in orders.values()}]
+    else:
+        near = {c: sorted(((x - a) ** 2 + (y - b) ** 2, o) for o, (x, y, _) in orders.items()) for c, (a, b) in customers.items()}
+        want = [(o, c) for c, n in near.items() for d, o in n if d <= 9] if name == "dwithin_join" else [(c, o, r) for c, n in near.items() for r, (_, o) in enumerate(n[:3], 1)]
+    assert got == sorted(want)
