@@ -20,9 +20,14 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 
 def _keep(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id and text_hash are not in dropped."""
-    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
-    return _told_apart(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row_hash") == F.col("_gone_hash")), "left_anti").drop("_row_hash")
+    """The rows whose doc_id and text_hash are not in dropped, one of each doc_id and text (of rows that repeat both, the least by the other columns)."""
+    same = lambda name: F.col("doc_id").eqNullSafe(F.col(f"_{name}_id")) & (F.col("_row_hash") == F.col(f"_{name}_hash"))
+    named = lambda df, name, h: df.select(F.col("doc_id").alias(f"_{name}_id"), F.col(h).alias(f"_{name}_hash"))
+    told = _told_apart(docs)
+    again = named(told.groupBy("doc_id", "_row_hash").count().filter("count > 1"), "again", "_row_hash")
+    once = told.join(again, same("again"), "left_anti").drop("_row_hash")
+    more = told.join(again, same("again"), "left_semi").groupBy("doc_id", "_row_hash").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return _told_apart(once.union(more)).join(named(dropped, "gone", "text_hash"), same("gone"), "left_anti").drop("_row_hash")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +37,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
-    return _keep(docs, exact.exact_dedup(docs).filter("not kept"))
+    """Of equal texts, the document with the largest doc_id stays; of several rows with that doc_id, one."""
+    groups = settle(exact.exact_dedup(docs).filter("group_size > 1").select("doc_id", "text_hash", "text_sha256", "kept"))
+    best = groups.filter("kept").groupBy("text_sha256").agg(F.min("text_hash").alias("best"))
+    return _keep(docs, groups.join(best, "text_sha256").filter("not kept or text_hash <> best"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

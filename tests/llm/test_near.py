@@ -43,3 +43,15 @@ def test_near_groups_find_chains_and_hot_groups(spark):
 def test_near_groups_of_awkward_rows(spark):
     assert near.near_groups(awkward(spark)).count() == awkward(spark).count()
     assert near.near_groups(empty(spark)).collect() == []
+
+
+def test_stages_keep_one_of_rows_that_repeat_the_largest_id(spark):
+    rows = [(7, "same text", "a"), (7, "same text", "b"), (7, "Same text", "a"), (3, "same text", "a"), (None, "only nulls here", "a"), (None, "Only nulls here", "a"), (None, "only nulls here", "b"), (9, None, "a"), (9, "", "a"), (1, "alone", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = P.exact_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept if r.doc_id is not None) == [(1, "alone"), (7, "same text"), (9, "")]
+    assert [r.text.lower() for r in kept if r.doc_id is None] == ["only nulls here"]
+    near_kept = P.near_stage(spark, docs.filter("text = 'same text' or text = 'alone'"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in near_kept) == [(1, "alone"), (3, "same text")]
+    again = spark.createDataFrame(rows[:2], docs.schema)
+    assert [(r.doc_id, r.source) for r in P.near_stage(spark, again, "").collect()] == [(7, "a")]
