@@ -130,13 +130,14 @@ def _only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pc.greater_equal(batch.column(1), 0)).select(["chunk", "bucket", "n", "words"])
 
 
-def _encode(ranks_data, pattern: str):
+def _encode(ranks_data):
     """Words of a bucket to ids, each distinct word once; blocks of a bucket stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         import tiktoken
 
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_data.value), special_tokens={})._encode_single_piece
+        # a pattern that takes all of a word: it has been split before
+        encode = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(ranks_data.value), special_tokens={}).encode_ordinary
         known, bucket = {}, None
         for batch in batches:
             for row in batch.to_pylist():
@@ -146,7 +147,7 @@ def _encode(ranks_data, pattern: str):
                 for w in _unpack_words(row["n"], row["words"]):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = encode(w)
+                        got = known[w] = encode(w.decode())
                     ids += got
                     lengths.append(len(got))
                 yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": bucket, "n": row["n"], "lengths": _pack(np.array(lengths)), "ids": _pack(np.array(ids))}], schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("lengths", pa.binary()), ("ids", pa.binary())]))
@@ -219,11 +220,12 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     with open(ranks or default_ranks(), "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     pattern = pattern or default_pattern()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many partitions as the scan has, if it has more: a task's share does not grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = base.mapInArrow(_chunks(pattern, max(64, 2 * parts), chunk), _PACKED).repartition(parts, "chunk")
     words = packed.mapInArrow(_only_words, "chunk long, bucket int, n int, words binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(_encode(data, pattern), "chunk long, bucket int, n int, lengths binary, ids binary")
+    ids = words.mapInArrow(_encode(data), "chunk long, bucket int, n int, lengths binary, ids binary")
     result = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(data, with_ids), result)
 

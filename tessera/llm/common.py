@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_tessera_dir", None)
     if made is None:
         made = spark.sparkContext._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -46,12 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so that later
     steps neither repeat the work nor depend on the executors that did it. The
-    table goes when the driver ends."""
+    table goes when it is dropped, or else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def drop(settled: DataFrame) -> None:
+    """Removes a table of settle that nothing unfinished reads any more."""
+    _remove(settled.sparkSession, settled._tessera_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

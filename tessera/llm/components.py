@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).alias("mark")
     seen = now.agg(mark).first()["mark"]
     while seen["n"]:
-        now = settle(_star(_star(now, True), False))
+        old, now = now, settle(_star(_star(now, True), False))
+        drop(old)
         was, seen = seen, now.agg(mark).first()["mark"]
         if was == seen:
             break

@@ -4,8 +4,9 @@ Texts are grouped by length; of those with company, the prefix is hashed; of tho
 with company in length and prefix, the whole text. What has company is told to the
 next scan by a filter of at most SLOTS slots (a slot holds all keys of one hash
 remainder), so its size is bounded whatever the data, it may be broadcast, and a
-false hit costs one more hash and nothing else. No text is ever shuffled: lengths,
-hashes and ids are. Groups are counted with map-side sums, and the join that brings
+false hit costs one more hash and nothing else. Texts are scanned once for each of the
+three and never shuffled: the last scan writes ids, lengths and hashes, and groups, as
+well as the way back to the rows, are made of these. Groups are counted with map-side sums, and the join that brings
 a group's result back to its rows is one that the planner splits where a group is hot.
 
 Defined results: null counts as the empty text; a null doc_id is smaller than any
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, tune
+from .common import ascii_lower, settle, tune
 
 PREFIX, SLOTS = 128, 1 << 18
 
@@ -48,7 +49,7 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, digest_all: bool = False)
     head = by_length.withColumn("pre", F.when(F.col("hit_len"), F.xxhash64(ascii_lower(F.substring("text", 1, prefix)))))
     by_prefix = _told(head, _with_company(head.filter("hit_len").select("len", "pre"), ["len", "pre"], "hit_pre"), ["len", "pre"])
     wanted = F.lit(True) if digest_all else F.coalesce(F.col("hit_pre"), F.lit(False))
-    rows = by_prefix.select("doc_id", "text_hash", "len", "pre", "hit_pre", F.when(wanted, _digest(F.col("text"))).alias("text_sha256"))
+    rows = settle(by_prefix.select("doc_id", "text_hash", "len", "pre", "hit_pre", F.when(wanted, _digest(F.col("text"))).alias("text_sha256")))
     groups = rows.filter("hit_pre").groupBy("len", "pre", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = groups.select(F.col("text_sha256").alias("key"), "keep_id", "group_size", F.lit(True).alias("met"))
     keyed = rows.withColumn("key", F.coalesce("text_sha256", F.concat(F.lit("-"), F.coalesce("doc_id", F.lit(0)), F.lit("-"), "len")))

@@ -14,20 +14,20 @@ table asks for, so a source with a third of all rows has many, and all random
 numbers are hashes, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source, last in order;
-a null doc_id is a document; repeated rows are documents of their own (those of equal
-doc_id and text meet in one cell, so that pair should be nearly a key); an empty table gives
-an empty result."""
+a null doc_id is a document; repeated rows are documents of their own, told apart by a
+number within their doc_id, source and text (so they stand in cells of their own); an empty
+table gives an empty result."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import count_words, settle, tune
 
-CELL, FAN_BITS, MOST_COPIES, HASH_BITS = 64, 7, 3, 40
+CELL, FAN_BITS, MOST_COPIES, HASH_BITS, CHUNK = 64, 7, 3, 40, 1 << 16
 #: Source totals up to this many rows are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 _DECIDED = "array<struct<size:bigint,h:bigint,doc_id:bigint,text_hash:bigint,p:double,extra:int>>"
@@ -73,29 +73,49 @@ def _size_class(size: Column) -> Column:
 
 def targets(sized: DataFrame, most: float = MOST_COPIES) -> DataFrame:
     """source, source_size, target: weights 1, 2, 3, repeating by code point of the source, null last, share all
-    sizes; what exceeds most times a source's size is reshared. One row a source."""
+    sizes; what exceeds most times a source's size is reshared. One row a source, however many there are: sources are
+    numbered by range partitions, and each round of resharing is a sum over the table."""
+    spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything, by_name = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = totals.withColumn("w", (1 + F.pmod(F.row_number().over(by_name) - 1, F.lit(3))).cast("double")).withColumn("cap", F.col("source_size") * float(most)).withColumn("t", F.sum("source_size").over(everything).cast("double"))
-    tightest = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(tightest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("w").over(tightest.rowsBetween(0, Window.unboundedFollowing))
-    full = weighed.withColumn("full", F.col("cap") <= F.col("w") * (F.col("t") - before) / after)
-    level = (F.col("t") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)) / F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(everything)
-    return full.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * level).alias("target"))
+    ordered = totals.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = settle(ordered.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33)).withColumn("at", F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("id"))
+    before, offsets = 0, []
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # one number for each partition
+        offsets.append((r.part, before))
+        before += r["count"]
+    numbered = placed.join(F.broadcast(spark.createDataFrame(offsets, "part long, offset long")), "part")
+    weighed = numbered.select("source", "source_size", (1 + F.pmod(F.col("at") + F.col("offset"), F.lit(3))).cast("double").alias("w"), (F.col("source_size") * float(most)).alias("cap"))
+    total, weights = weighed.agg(F.sum("source_size").cast("double"), F.sum("w")).first()
+    level, n = (total or 0.0) / (weights or 1.0), -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        taken, left, now = weighed.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count(F.when(full, 1))).first()
+        if now == n:
+            break
+        level, n = (total - (taken or 0.0)) / left if left else level, now
+    return weighed.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * level).alias("target"))
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """Rows with a number (rn) that tells equal ones apart. Equal rows are counted, and their numbers made again by
+    tasks of at most CHUNK, so that no task gathers them."""
+    keys = sized.columns
+    chunks = sized.groupBy(*keys).count().withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {CHUNK}")))).repartition(*keys, "chunk")
+    last = F.least(F.lit(CHUNK - 1).cast("long"), F.col("count") - 1 - F.col("chunk") * CHUNK)
+    return chunks.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(*keys, (F.col("at") + F.col("chunk") * CHUNK).alias("rn"))
 
 
 def mix(docs: DataFrame, seed: int = 17, most: float = MOST_COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target (its source's), copies (0 to most), taken (copies x size) and text_hash."""
     tune(docs.sparkSession)
-    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
+    sized = settle(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))))
     goals = settle(targets(sized, most)).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goals = goals.withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
     named = goals.withColumnRenamed("source", "goal_source")
     aimed = sized.join(named, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    units = aimed.filter("p > 0").select("source", "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << HASH_BITS)).alias("h"), "doc_id", "text_hash", "p").withColumn("cls", _size_class(F.col("size")))
+    units = aimed.filter("p > 0").select("source", "size", F.pmod(F.when(F.col("rn") == 0, F.xxhash64(F.lit(seed), "doc_id", "text_hash")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "text_hash", "rn")), F.lit(1 << HASH_BITS)).alias("h"), "doc_id", "text_hash", "p").withColumn("cls", _size_class(F.col("size")))
     bits = max(0, math.ceil(math.log2(max(1, sized.count()) / CELL)))
     settled, live = [], units
     while True:

@@ -42,7 +42,7 @@ def _shingles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         made = np.where(n > 0, np.maximum(1, n - SHINGLE + 1), 0)
         out = np.concatenate(([0], np.cumsum(made)))
         at = np.repeat(cut[:-1] - out[:-1], made) + np.arange(out[-1])
-        yield T.span_hash(T.prefix_sums(words, "seq"), at, np.minimum(at + SHINGLE, np.repeat(cut[1:], made)), "seq"), out
+        yield T.sequence_hashes(words, at, np.minimum(at + SHINGLE, np.repeat(cut[1:], made)) - at), out
 
 
 def _band_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:

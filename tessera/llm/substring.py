@@ -8,8 +8,13 @@ block is repeated whole, all of its windows are; only blocks of one seed with
 different words are compared window by window, one document for each block.
 Removed windows that touch or overlap make the maximal repeats.
 
+Sequences count as equal if 64-bit hashes of their words agree, and only sequences of
+one seed (itself a hash of 64 bits) are ever compared, so that at 10**13 blocks chance
+makes fewer than one error; no structure of the texts makes hashes meet (textnum.py).
+
 No group is gathered: seeds are counted with map-side sums, the joins on seeds are
-split where skewed, and a document's own lists are bounded by its length.
+split where skewed, and a document's own lists are bounded by its length (rows of one
+doc_id, or of none, are told apart by SALTS remainders of a hash of their text).
 
 Defined results: a null text has no words; a null doc_id counts as the smallest;
 rows that share a doc_id are judged one by one, against smaller doc_ids and their
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textnum as T
 from .common import key_of, settle, tune
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM, SALTS = 20, 8, 1 << 15
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -57,13 +62,13 @@ def _distinct(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _seeds(window: int, gram: int):
     def run(batches):
         for batch in batches:
-            key = batch.column(batch.schema.get_field_index("k")).to_numpy(zero_copy_only=False)
+            key, salt = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("k", "s"))
             for at, _, rows, words in _parts(batch):
                 first, _, seed, block = T.winnow(words, rows, window, gram)
                 if len(first):
                     row = rows[first]
                     one = _distinct(row, block)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(seed[one])), pa.array(_signed(block[one])), pa.array(key[at + row[one]])], ["h", "c", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(seed[one])), pa.array(_signed(block[one])), pa.array(key[at + row[one]]), pa.array(salt[at + row[one]])], ["h", "c", "k", "s"])
 
     return run
 
@@ -73,11 +78,11 @@ def _windows(window: int, gram: int):
 
     def run(batches):
         for batch in batches:
-            key = batch.column(batch.schema.get_field_index("k")).to_numpy(zero_copy_only=False)
+            key, salt = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("k", "s"))
             blocks = batch.column(batch.schema.get_field_index("blocks"))
             for at, _, rows, words in _parts(batch):
                 first, last, seed, block = T.winnow(words, rows, window, gram)
-                hashes = T.window_hashes(words, window)
+                hashes = T.rolling_hashes(words, window)
                 row = rows[first]
                 cut = np.searchsorted(row, np.arange(rows[-1] + 2 if len(rows) else 1))
                 out = []
@@ -87,11 +92,11 @@ def _windows(window: int, gram: int):
                         wanted = np.array(listed.as_py(), np.int64)
                         for j in np.flatnonzero(np.isin(_signed(block[cut[r] : cut[r + 1]]), wanted)) + cut[r]:
                             w = hashes[first[j] : last[j] + 1]
-                            out.append((np.full(len(w), seed[j]), w, np.full(len(w), key[at + r])))
+                            out.append((np.full(len(w), seed[j]), w, np.full(len(w), at + r)))
                 if out:
-                    h, w, k = (np.concatenate(x) for x in zip(*out, strict=True))
-                    one = _distinct(k, w)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(h[one])), pa.array(_signed(w[one])), pa.array(k[one])], ["h", "w", "k"])
+                    h, w, row = (np.concatenate(x) for x in zip(*out, strict=True))
+                    one = _distinct(row, w)
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(h[one])), pa.array(_signed(w[one])), pa.array(key[row[one]]), pa.array(salt[row[one]])], ["h", "w", "k", "s"])
 
     return run
 
@@ -108,7 +113,7 @@ def _cut(window: int, gram: int, with_text: bool):
             text = col["text"]
             for at, bounds, rows, words in _parts(batch):
                 first, last, _, block = T.winnow(words, rows, window, gram)
-                hashes = T.window_hashes(words, window)
+                hashes = T.rolling_hashes(words, window)
                 rowcut, wordcut = (np.searchsorted(x, np.arange(len(bounds))) for x in (rows[first], rows))
                 out = []
                 for r in range(len(bounds) - 1):
@@ -153,15 +158,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     Returns doc_id, n_words, n_removed, kept_sha256, spans (the maximal repeats
     removed, as word ranges) and kept_text (null unless with_text)."""
     tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("doc_id").cast("long")).alias("k"), F.col("text").cast("string").alias("text"))
-    seeds = docs.select("k", "text").mapInArrow(_seeds(window, gram), "h long, c long, k long")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("doc_id").cast("long")).alias("k"), F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("short").alias("s"), text.alias("text"))
+    row = ["k", "s"]
+    none = F.lit(None).cast("long")
+    seeds = docs.select(*row, "text").mapInArrow(_seeds(window, gram), "h long, c long, k long, s short")
     shared = settle(seeds.join(seeds.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi"))
-    blocks = settle(shared.groupBy("h", "c").agg(F.min("k").alias("first")))
-    whole = shared.join(blocks, ["h", "c"]).filter("k > first").select("k", F.col("c").alias("block"), F.lit(None).cast("long").alias("window"))
+    blocks = settle(shared.groupBy("h", "c").agg(F.min(F.struct(*row)).alias("first")))
+    whole = shared.join(blocks, ["h", "c"]).filter("k > first.k").select(*row, F.col("c").alias("block"), none.alias("window"))
     mixed = blocks.join(blocks.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
-    lists = mixed.groupBy(F.col("first").alias("k")).agg(F.collect_set("c").alias("blocks"))
-    windows = settle(docs.join(lists, "k", "left").filter("blocks is not null").select("k", "text", "blocks").mapInArrow(_windows(window, gram), "h long, w long, k long"))
+    lists = mixed.select("first.*", "c").groupBy(*row).agg(F.collect_set("c").alias("blocks"))
+    windows = settle(docs.join(lists, row).select(*row, "text", "blocks").mapInArrow(_windows(window, gram), "h long, w long, k long, s short"))
     firsts = windows.groupBy("h", "w").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    single = windows.join(firsts, ["h", "w"]).filter("k > first").select("k", F.lit(None).cast("long").alias("block"), F.col("w").alias("window"))
-    gone = whole.union(single).groupBy("k").agg(F.collect_set("block").alias("blocks"), F.collect_set("window").alias("windows"))
-    return docs.join(gone, "k", "left").select("doc_id", "text", "blocks", "windows").mapInArrow(_cut(window, gram, with_text), RESULT)
+    single = windows.join(firsts, ["h", "w"]).filter("k > first").select(*row, none.alias("block"), F.col("w").alias("window"))
+    gone = whole.union(single).groupBy(*row).agg(F.collect_set("block").alias("blocks"), F.collect_set("window").alias("windows"))
+    return docs.join(gone, row, "left").select("doc_id", "text", "blocks", "windows").mapInArrow(_cut(window, gram, with_text), RESULT)

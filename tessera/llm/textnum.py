@@ -1,9 +1,11 @@
 """Numpy kernels over the UTF-8 bytes of many texts at once: word bounds, 64-bit
-word hashes, rolling hashes of word sequences, and winnowing.
+word hashes, hashes of word sequences, and winnowing.
 
-Separators are ASCII, so bytes give the same words as code points. Hashes are
-polynomials modulo 2**64 over scrambled bytes (words) and scrambled word hashes
-(sequences), put through a finaliser."""
+Separators are ASCII, so bytes give the same words as code points. A word's hash takes
+its bytes eight at a time, each eight put through a finaliser, so no structure of the
+text (as there is for polynomials modulo 2**64) makes different words meet. Sequences
+are hashed by doubling: two halves of 2**k words, mixed, and any length as two such
+halves that overlap."""
 
 from __future__ import annotations
 
@@ -12,14 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from .common import SLICE_BYTES
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = {"byte": 0x9E3779B97F4A7C15, "gram": 0xD1342543DE82EF95, "seq": 0xAF251AF3B0F025B5}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-_KEEP = 2 * SLICE_BYTES
+_START, _EIGHT, _LEFT, _RIGHT = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
+#: Words of more bytes are hashed one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,31 +29,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse modulo 2**64."""
-    if kind not in _powers or len(_powers[kind][0]) < n:
-        base = _BASE[kind]
-        made = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.full(max(n, 1 << 16), b, np.uint64)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        if n > _KEEP:  # a single very long text: not kept
-            return made[0][:n], made[1][:n]
-        _powers[kind] = tuple(made)
-    up, down = _powers[kind]
-    return up[:n], down[:n]
-
-
-def prefix_sums(values: np.ndarray, kind: str) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(kind, len(values))[0], out=out[1:])
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _LEFT + right * _RIGHT)
+
+
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of words[start : start + length], from the words' hashes; alike wherever the sequence stands. Lengths are 1 or more."""
+    out = np.empty(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    power = np.frexp(lengths.astype(float))[1] - 1  # 2**power <= length
+    level = words
+    for k in range(int(power.max()) + 1):
+        at = np.flatnonzero(power == k) if power.min() != power.max() else slice(None) if power[0] == k else []
+        out[at] = _joined(level[starts[at]] + lengths[at].astype(np.uint64), level[starts[at] + lengths[at] - (1 << k)])
+        level = _joined(level[: len(level) - (1 << k)], level[1 << k :])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    """Hashes of values[start:end], from prefix_sums; alike wherever the span stands."""
-    return mix((sums[end] - sums[start]) * powers(kind, len(sums))[1][start] + (end - start).astype(np.uint64))
+def rolling_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all sequences of one length."""
+    n = max(0, len(words) - length + 1)
+    return sequence_hashes(words, np.arange(n), np.full(n, length))
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -97,7 +95,24 @@ def word_bounds(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(_BYTE[buf], "byte"), starts, ends, "byte")
+    out = np.full(len(starts), _START, np.uint64)
+    if not len(starts):
+        return out
+    eight = np.concatenate((buf, np.zeros(8, np.uint8))).astype(np.uint64)
+    for k in (1, 2, 4):  # the eight bytes from each place on
+        eight[:-k] |= eight[k:] << np.uint64(8 * k)
+    size = ends - starts
+    long = np.flatnonzero(size > _LONG)
+    live, at = np.flatnonzero(size <= _LONG), 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[starts[live] + at]
+        chunk &= np.uint64(2**64 - 1) >> (np.uint64(8) * np.maximum(0, 8 - left).astype(np.uint64))
+        out[live] = mix((out[live] ^ chunk) * _EIGHT + np.minimum(left, 8).astype(np.uint64))
+        live, at = live[left > 8], at + 8
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -119,18 +134,10 @@ def winnow(words: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = prefix_sums(words, "gram")
-    at = np.arange(n - gram + 1)
-    seeds = sliding_min(span_hash(sums, at, at + gram, "gram"), window - gram + 1)
+    seeds = sliding_min(rolling_hashes(words, gram), window - gram + 1)
     valid = rows[: n - window + 1] == rows[window - 1 :]
     change = np.ones(len(seeds), bool)
     change[1:] = (seeds[1:] != seeds[:-1]) | (rows[1 : len(seeds)] != rows[: len(seeds) - 1]) | ~valid[:-1]
     first = np.flatnonzero(change & valid)
     stop = np.flatnonzero(np.concatenate((change[1:] | ~valid[1:], [True])) & valid)
-    block = span_hash(prefix_sums(words, "seq"), first, stop + window, "seq")
-    return first, stop, seeds[first], block
-
-
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    at = np.arange(max(0, len(words) - window + 1))
-    return span_hash(prefix_sums(words, "seq"), at, at + window, "seq")
+    return first, stop, seeds[first], sequence_hashes(words, first, stop + window - first)

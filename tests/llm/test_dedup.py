@@ -1,12 +1,15 @@
 import hashlib
+import math
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, exact, mixing, simhash, substring
+from tessera.llm import components, exact, mixing, simhash, substring, textnum
 
 from .util import awkward, documents, empty
 
@@ -47,8 +50,6 @@ def test_substring(spark, make):
 
 
 def test_substring_repetitive_and_shared(spark):
-    import random
-
     random.seed(5)
     rows = []
     for i in range(60):  # few words, so that seeds repeat by chance with other neighbours
@@ -62,6 +63,32 @@ def test_substring_repetitive_and_shared(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_substring(rows)
 
 
+def test_substring_structured_words_differ(spark):
+    thue = "a"
+    for _ in range(10):
+        thue = "".join("ab" if c == "a" else "ba" for c in thue)
+    other = thue.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(19)]
+    runs = [" ".join(x) for x in (thue, other)]  # the same, word by word
+    rows = [(1, " ".join([*words, thue])), (2, " ".join([*words, other])), (3, runs[0]), (4, runs[1]), (5, "x" * 300 + "y " + " ".join(words)), (6, "x" * 300 + "z " + " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.substring_dedup(df).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_substring(rows)
+    assert {r.doc_id: r.n_removed for r in got}[2] == 0
+
+
+def test_sequence_hashes_tell_sequences_apart():
+    rng = random.Random(1)
+    words = np.array([rng.choice((3, 5, 2**60)) for _ in range(500)], np.uint64)
+    starts, lengths = np.array([rng.randrange(400) for _ in range(3000)]), np.array([rng.randrange(1, 100) for _ in range(3000)])
+    got = textnum.sequence_hashes(words, starts, lengths)
+    by = defaultdict(set)
+    for h, a, n in zip(got.tolist(), starts, lengths, strict=True):
+        by[tuple(words[a : a + n].tolist())].add(h)
+    assert all(len(x) == 1 for x in by.values()) and len({h for x in by.values() for h in x}) == len(by)
+    assert (textnum.rolling_hashes(words, 7) == textnum.sequence_hashes(words, np.arange(494), np.full(494, 7))).all()
+
+
 def brute_fingerprint(text):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
@@ -97,23 +124,27 @@ def test_simhash(spark, make):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_links_find_every_pair(spark):
-    import random
-
+@pytest.mark.parametrize(("distance", "segments", "hot"), [(2, 2, 64), (2, 2, 2)])
+def test_links_find_every_pair(spark, distance, segments, hot):
     random.seed(3)
-    fps = {0, 1, -1}
-    for _ in range(40):
-        x = random.getrandbits(64) - 2**63
-        for _ in range(6):
+    fps = {0, 1, 3, 2**63, 2**64 - 1}
+    for low in (64, 64, 32, 16):  # families that differ anywhere, or in the last bits only, so that values are crowded
+        x = random.getrandbits(64)
+        for _ in range(40):
             y = x
-            for b in random.sample(range(64), random.choice((1, 2, 3))):
-                y ^= 1 << b if b < 63 else -(2**63)
+            for b in random.sample(range(low), random.choice((1, 2, 3))):
+                y ^= 1 << b
             fps |= {x, y}
-    nodes = sorted(fps)
-    want = brute_components(nodes, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 2)
-    df = spark.createDataFrame([(x,) for x in nodes], "fp long")
-    got = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
-    assert {n: got.get(n, n) for n in nodes} == want
+    signed = sorted(x - 2**64 if x >> 63 else x for x in fps)
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= distance}
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance, segments, hot).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_radii_leave_no_pair_out():
+    for distance in range(7):
+        for parts in range(1, 6):
+            assert sum(r + 1 for r in simhash.radii(distance, parts)) == distance + 1 or distance < parts - 1
 
 
 def test_components_long_chain(spark):
@@ -138,12 +169,6 @@ def test_exact(spark, make):
     assert {r.text_sha256 for r in got} == sha
 
 
-def test_exact_sql(spark, duck):
-    got = exact.exact_dedup(documents(spark), digest_all=True).drop("text_hash").toPandas().sort_values("doc_id").reset_index(drop=True)
-    want = duck.execute(exact.EXACT_SQL).df().sort_values("doc_id").reset_index(drop=True)[list(got.columns)]
-    assert got.astype(str).equals(want.astype(str))
-
-
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: 1 + i % 3 for i, s in enumerate(names)}
@@ -185,6 +210,28 @@ def test_mixing_hot_source_is_near(spark):
     assert all(abs(r.taken - r.target) < 400 for r in by)
 
 
+def test_mixing_includes_each_document_by_its_share(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    seen, runs = defaultdict(int), 5
+    for seed in range(runs):
+        for r in mixing.mix(df, seed=seed).collect():
+            seen[r.doc_id] += r.copies
+            rate = r.target / r.source_size
+            assert r.copies in (math.floor(rate), math.floor(rate) + 1)
+    for source in (0, 1):
+        rate = {0: 2 / 3, 1: 4 / 3}[source]
+        own = [seen[i] / runs for i in range(source, 60, 2)]
+        assert all(abs(x - rate) < 4.5 * math.sqrt(rate % 1 * (1 - rate % 1) / runs) for x in own)
+        assert abs(np.mean(own) - rate) < 0.08
+
+
+def test_mixing_takes_repeated_rows_by_their_share(spark):
+    rows = [(1, "five words are in this", "a")] * 3000 + [(2, "w " * 4000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    own = [r for r in got if r.doc_id == 1]
+    assert len(got) == 3001 and abs(sum(r.taken for r in own) - own[0].target) <= 5
+
+
 def test_empty_tables(spark):
     e = empty(spark)
     for out in (substring.substring_dedup(e), simhash.simhash_groups(e), exact.exact_dedup(e), mixing.mix(e)):

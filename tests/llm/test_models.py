@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 import zlib
 
@@ -13,27 +15,87 @@ from .util import awkward, documents, empty
 CHECK = "/root/testdata/sf0.1"
 
 
-def test_grammar_weighs_clauses():
+def test_grammar_scores_clauses():
     m = toxicity.Model()
-    got = lambda t: sum(s for s, _ in m.clauses(t))
-    assert got("you idiot") > got("an idiot") > got("not an idiot") > 0
-    assert got("an idiot") > got("she said an idiot") > 0
-    assert got("kill time") < got("i will kill you") or got("you will kill") > got("kill time")
-    assert got("not. an idiot") == got("an idiot")  # negation ends with the clause
-    assert got("a nice day") == 0
+    assert m.score("you idiot") > 0.5 > m.score("an idiot") > m.score("a nice day")
+    assert m.score("i will kill you") > 0.5 > m.score("to kill time") > m.score("")
+    assert m.score("you idiot") > m.score("you are not an idiot") and m.score("she said you idiot") < 0.5
+    assert m.score("they said: you idiot") < 0.5 < m.score("they said. you idiot")  # a report ends with its sentence
+    assert m.score("not this, you idiot") > 0.5  # a negation with its clause
+    assert m.score("you. an idiot") < 0.5 < m.score("you an idiot")
+    strong = toxicity.Model({"idiot": 50.0}, (-1.0, *[9.0] * len(toxicity.PATTERNS)))
+    assert strong.score("an idiot") < 0.5 < strong.score("an idiot, an idiot")  # one word in passing
+
+
+def brute_clauses(model, text):
+    """The patterns of each clause by its words alone, without states."""
+    out, reported = [], False
+    for part in re.findall(r"[^.!?;:,\n]*[.!?;:,\n]", text.lower() + "."):
+        end = part[-1]
+        words = toxicity._WORD(part)
+        kinds = [toxicity.SYMBOLS[model.symbol(w)[0]] for w in words]
+        reported |= "report" in kinds
+        hits = [i for i, k in enumerate(kinds) if k in ("insult", "threat")]
+        negated = [any(k == "negation" for k in kinds[max(0, i - toxicity.SPAN) : i]) for i in hits]
+        mode = "reported" if reported else "negated" if hits and all(negated) else "plain"
+        for word, alone, both in (("insult", "bare", "aimed"), ("threat", "loose", "threat")):
+            if word in kinds:
+                weight = sum(model.symbol(w)[1] for w, k in zip(words, kinds, strict=True) if k == word)
+                out.append((both if "target" in kinds else alone, mode, weight, " ".join(words)))
+        reported &= end in ",;:"
+    return out
 
 
 def test_grammar_is_the_composition():
-    parts = [toxicity.Transducer(toxicity.SPAN + 1, toxicity._negation), toxicity.Transducer(2, toxicity._report), toxicity.Transducer(2, toxicity._target)]
-    rng = np.random.default_rng(1)
-    state, each = 0, [0, 0, 0]
-    for i in rng.integers(0, len(toxicity.SYMBOLS), 500):
-        state, factor = toxicity.GRAMMAR[state][i]
-        want = 1.0
-        for k, p in enumerate(parts):
-            each[k], f = p.step(each[k], toxicity.SYMBOLS[i])
-            want *= f
-        assert factor == pytest.approx(want)
+    rng = random.Random(1)
+    m = toxicity.Model({"zork*": 3.0, "clown": -1.0})
+    pool = ["idiot", "kill", "you", "not", "said", "zorkly", "clown", "the", "dog", ",", ".", ":", "!", "\n"]
+    for _ in range(300):
+        text = " ".join(rng.choices(pool, [2, 2, 2, 2, 1, 1, 1, 4, 4, 2, 2, 1, 1, 1], k=rng.randrange(1, 60)))
+        got = [(*toxicity.PATTERNS[p], w, c) for p, w, c in m.clauses(text)]
+        assert [(a, b, c) for a, b, _, c in got] == [(a, b, c) for a, b, _, c in brute_clauses(m, text)]
+        assert [w for _, _, w, _ in got] == pytest.approx([w for _, _, w, _ in brute_clauses(m, text)])
+
+
+def syntactic(spark, n=1500):
+    """Documents in which only the clause tells: insults aimed at someone are toxic; denied, reported and passing ones are not."""
+    rng = random.Random(4)
+    filler = [a + b for a in ("ba", "ko", "ri", "tu", "sel") for b in ("dan", "mer", "lo", "pik", "vas", "ne")]
+    insults = ["grobnik", "zorkel", "plumf", "snidge"]
+    rows = []
+    for i in range(n):
+        toxic = i % 3 == 0
+        clauses = [" ".join(rng.choices(filler, k=rng.randrange(4, 9))) for _ in range(40)]
+        for at in rng.sample(range(40), 2):
+            bad, some = rng.choice(insults), " ".join(rng.choices(filler, k=2))
+            shapes = (f"you {some} {bad}", f"{bad} {some} you") if toxic else (f"they are not a {bad} {some}", f"{some} said you {bad}", f"no {bad} {some} of them")
+            clauses[at] = rng.choice(shapes)
+        if not toxic:  # as many targets, apart from the insults
+            clauses[rng.randrange(40)] += ". you " + rng.choice(filler)
+        rows.append((i, ". ".join(clauses), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_depends_on_the_clause(spark):
+    docs, labels = syntactic(spark)
+    # clean texts use the insults too, so that words alone tell little; what the lexicon would learn by itself is given
+    texts = docs.join(labels, "doc_id").filter(~toxicity.held_out(F.col("doc_id")))
+    m = toxicity.Model({w: 4.0 for w in ("grobnik", "zorkel", "plumf", "snidge")})
+    x, y = toxicity._features_of(texts.select("text", "toxic"), m)
+    m.weights = toxicity._fit(x, y)
+    held = docs.join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).collect()
+    rng = random.Random(2)
+
+    def shuffled(text):
+        words = re.findall(r"\w+|\.", text)
+        rng.shuffle(words)
+        return " ".join(words)
+
+    recall = lambda change: np.mean([m.score(change(r.text)) >= 0.5 for r in held if r.toxic])
+    alarm = np.mean([m.score(r.text) >= 0.5 for r in held if not r.toxic])
+    assert recall(lambda t: t) > 0.95 and alarm < 0.05
+    assert recall(shuffled) < 0.5 * recall(lambda t: t)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -48,7 +110,7 @@ def test_toxicity_held_out_labels_are_not_used(spark):
     docs, labels = documents(spark), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.learn(docs, labels), toxicity.learn(docs, flipped)
-    assert a.learned == b.learned and a.logistic == b.logistic
+    assert a.learned == b.learned and a.weights == b.weights
     got = toxicity.score(docs, a, with_clauses=True).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
@@ -58,7 +120,7 @@ def test_toxicity_awkward(spark):
     none = spark.createDataFrame([(None, 1, None)], "doc_id long, quality int, toxic int")
     m = toxicity.learn(df, none)
     got = toxicity.score(df, m).collect()
-    assert len(got) == df.count() and {r.predicted for r in got} == {0, 1}
+    assert len(got) == df.count() and {r.predicted for r in got} == {0}  # one insult and no more
     assert toxicity.score(empty(spark), m).collect() == []
 
 
@@ -77,7 +139,7 @@ def test_forest_recall_and_scores(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want = brute_nearest(rows, [r for r in rows if r[0] % 50 == 0])
-    got = forest.nearest(df, df.filter("vec_id % 50 = 0"), block=1000).collect()
+    got = forest.nearest(df, df.filter("vec_id % 50 = 0")).collect()
     vectors = {i: np.array(v, float) for i, v in rows}
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -94,7 +156,7 @@ def test_forest_awkward(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (None, [1.0, 1.0]), (9, [1.0, 1.0, 1.0]), (10, [-1.0, 0.0])]
     rows += [(i, [1.0, 0.0]) for i in range(100, 150)] + [(8, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, block int, v int")
-    got = forest.nearest(df, df.filter("vec_id % 50 = 0"), block=10).orderBy("query_id", "rank").collect()
+    got = forest.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.vec_id, r.score) for r in got if r.query_id == 0] == [(1, 1.0), (50, 1.0), (100, 1.0), (101, 1.0), (102, 1.0)]
     assert {r.query_id for r in got} == {0, 50, 100}
     few = spark.createDataFrame([(0, [1.0, 1.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
@@ -102,16 +164,37 @@ def test_forest_awkward(spark):
     assert forest.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
-def test_forest_candidates_share_prefixes():
+def test_forest_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-170, 0.0]), (50, [2.0**1000, 2.0**1000]), (1, [5e-324, 5e-324]), (2, [0.0, 1e308]), (3, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 3), (0, 1), (0, 50), (0, 2), (50, 1), (50, 3), (50, 0), (50, 2)]
+    assert [r.score for r in got[:3]] == pytest.approx([1 / 1.25**0.5, 0.5**0.5, 0.5**0.5], abs=1e-12)
+
+
+def test_forest_candidates_are_those_of_the_level(spark):
     rng = np.random.default_rng(0)
-    v = rng.standard_normal((500, 16))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    f = forest.Forest(v, trees=4, bits=16)
-    hashes = f.hash(v)
-    for q, found in enumerate(f.candidates(v[:20], 30)):
-        common = [[16 - int(hashes[q, t] ^ hashes[i, t]).bit_length() for t in range(4)] for i in range(500)]
-        level = max(x for x in range(17) if sum(c >= x for row in common for c in row) >= 30)
-        assert set(found.tolist()) == {i for i in range(500) if max(common[i]) >= level}
+    v = rng.standard_normal((400, 16))
+    trees, bits, probes, least = 3, 12, 4, 60
+    entries = spark.createDataFrame([(i, 16, x.tolist()) for i, x in enumerate(v)], "id long, dim int, v array<double>").repartition(3)
+    got = forest.candidates(entries, entries.filter("id < 20"), trees, bits, probes, least).collect()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    h = forest.Hasher(16, np.round(unit.mean(axis=0), 6), trees, bits)
+    projected = h.project(unit)
+    own = h.strings(projected)
+    for q in range(20):
+        strings = [[(int(own[q, t]) ^ turn, start) for turn, start in some] for t, some in enumerate(h.turned(projected[q], probes))]
+        met = lambda level: [{i for i in range(400) for s, start in strings[t] if start <= level and int(own[i, t]) >> (bits - level) == s >> (bits - level)} for t in range(trees)]  # noqa: B023, E731
+        level = max((x for x in range(bits + 1) if sum(map(len, met(x))) >= least), default=0)
+        assert {r.e for r in got if r.q == q} == set().union(*met(level))
+
+
+def test_forest_likeliest_strings():
+    cost = np.array([0.5, 0.1, 0.9, 0.2])
+    every = sorted(((sum(cost[list(c)]), c) for n in range(5) for c in itertools.combinations(range(4), n)))
+    got = forest.likeliest(cost, 16)
+    assert [round(sum(cost[list(c)]), 9) for c in got] == [round(s, 9) for s, _ in every] and len(set(map(frozenset, got))) == 16
+    assert len(forest.likeliest(cost, 100)) == 16
 
 
 def brute_scan(text):
@@ -120,7 +203,6 @@ def brute_scan(text):
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     best = {}
     lines = text.split("\n")
-    paragraphs = [p for p in re.split(r"\n(?:[^\n]*\n)?", text)]
     sets = [set(licenses.words_of(x)) for x in lines]
     at = 0
     while at < len(lines):
@@ -131,19 +213,19 @@ def brute_scan(text):
             sets.append(set().union(*sets[at : to + 1]))
             at = to
         at += 1
-    for label, t in licenses.TEMPLATES:
-        tokens = set(licenses.words_of(t))
-        for s in sets:
-            c = len(tokens & s) / len(tokens)
-            if c >= licenses.THRESHOLD:
-                best[label] = max(best.get(label, 0), c)
+    labels = set()
+    for own in sets:
+        met = [(len(own & tokens) / len(tokens), label) for label, tokens in ((label, set(licenses.words_of(t))) for label, t in licenses.TEMPLATES)]
+        met = [(c, label) for c, label in met if c >= licenses.THRESHOLD]
+        labels |= {label for c, label in met if c == max(met)[0]}
+        for c, label in met:
+            best[label] = max(best.get(label, 0), c)
     base = {label for _, label in places}
-    assert paragraphs
-    return (len(words), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | set(best))), 1.0 if places else max(best.values(), default=0.0))
+    return (len(words), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if places else max(best.values(), default=0.0))
 
 
 def license_cases(spark):
-    t = ["MIT-License, mit license! and the  MIT\nlicense", "Licensed under\nCC BY-NC 4.0.", "unlicensed under CC BY NC 4", "apache license general public license" + " pad" * 30, "xmit license", "émit license mit licenseé", "Released under the MIT", licenses.TEMPLATES[1][1].upper(), "a\n\nlicensed under cc\n\nby nc 4 0"]
+    t = ["MIT-License, mit license! and the  MIT\nlicense", "Licensed under\nCC BY-NC 4.0.", "unlicensed under CC BY NC 4", "apache license general public license" + " pad" * 30, "xmit license", "émit license mit licenseé", "Released under the MIT", licenses.TEMPLATES[1][1].upper(), "a\n\nlicensed under cc\n\nby nc 4 0", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0", "licensed\nunder\r\nCC\nBY NC 4 0\n.\nsa"]
     return spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string")
 
 
@@ -156,6 +238,20 @@ def test_licenses(spark, make):
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def test_license_filters_drop_candidates():
+    words = "rare odd seldom some plain known usual common".split()
+    index = licenses.Index([("x", "rare seldom plain usual common"), ("y", "odd some known"), ("z", "rare odd seldom some")], {w: n for n, w in enumerate(words)}, 0.7)
+    dropped = {}
+    for block in (list(c) for n in range(9) for c in itertools.combinations(range(8), n)):
+        want = [(m, len(set(block) & s) / len(s)) for m, s in enumerate(index.sets) if len(set(block) & s) >= index.overlaps[m]]
+        assert index.match(block) == want
+        assert {m for m, _ in want} <= set(index.candidates(block, dropped))
+    assert dropped["length"] > 0 and dropped["position"] > 0
+    assert index.tokens == words
+    only_x = [words.index(w) for w in ("rare", "odd", "known", "common")]  # too much of the block is others' before "common" is reached
+    assert index.match(only_x) == []
+
+
 def brute_chat(rows):
     convs = {}
     for c, t, role, text in rows:
@@ -207,8 +303,6 @@ def test_template_language():
 
 
 def test_escapes_are_reversible():
-    import itertools
-
     for n in range(6):
         for chars in itertools.product("\\<[n\n|", repeat=n):
             s = "".join(chars)
