@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 Its result is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents. A stage decides on narrow rows; texts meet the
-decision in one join on doc_id."""
+last return the columns of documents, whatever others docs has and however they are
+named: a row travels as one struct. A stage decides on narrow rows; texts meet the
+decision in one join on doc_id and a hash of the text.
+
+Defined results: a null text is a text (in exact dedup equal to the empty one), a null
+doc_id is a document; rows that repeat a doc_id are told apart by their texts; where both
+repeat, the dedup stages keep one such row (the least by the other columns), toxicity and
+mixing take them as rows of their own; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -14,26 +20,33 @@ from tessera.llm import bpe, exact, mixing, near, toxicity
 from tessera.llm.common import settle, table
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """docs with a hash of the text: rows are known by doc_id (null is one) and this hash."""
-    return docs.withColumn("_row_hash", F.xxhash64("text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns as one) and key (doc_id and a hash of the text; struct fields may be null and still be equal)."""
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(whole.alias("row"), _key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+
+
+def _key(doc_id, text_hash):
+    return F.struct(doc_id.alias("doc_id"), text_hash.alias("text_hash")).alias("key")
+
+
+def _rows(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    return keyed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _keep(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose doc_id and text_hash are not in dropped, one of each doc_id and text (of rows that repeat both, the least by the other columns)."""
-    same = lambda name: F.col("doc_id").eqNullSafe(F.col(f"_{name}_id")) & (F.col("_row_hash") == F.col(f"_{name}_hash"))
-    named = lambda df, name, h: df.select(F.col("doc_id").alias(f"_{name}_id"), F.col(h).alias(f"_{name}_hash"))
-    told = _told_apart(docs)
-    again = named(told.groupBy("doc_id", "_row_hash").count().filter("count > 1"), "again", "_row_hash")
-    once = told.join(again, same("again"), "left_anti").drop("_row_hash")
-    more = told.join(again, same("again"), "left_semi").groupBy("doc_id", "_row_hash").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return _told_apart(once.union(more)).join(named(dropped, "gone", "text_hash"), same("gone"), "left_anti").drop("_row_hash")
+    told = _keyed(docs)
+    again = told.groupBy("key").count().filter("count > 1").select("key", F.lit(False).alias("gone"))
+    gone = dropped.select(_key(F.col("doc_id"), F.col("text_hash")), F.lit(True).alias("gone"))
+    known = told.join(again.union(gone).groupBy("key").agg(F.max("gone").alias("gone")), "key", "left")
+    once = known.filter("gone is null").select("row")
+    return _rows(once.union(known.filter("not gone").groupBy("key").agg(F.min("row").alias("row")).select("row")), docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the grammar, learned from the labels of these documents, predicts as toxic."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.mark(docs, model).filter("predicted = 0").drop("predicted")
+    return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +65,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0 to 3 times."""
-    taken = mixing.mix(docs).groupBy("doc_id", "text_hash", "source").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
-    met = _told_apart(docs).join(taken, same).withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return met.select(docs.columns)
+    """Each document as often as the mix takes it: 0 to 3 times. Rows of equal doc_id, text and source are taken as often as all of them together, in the shape of the least by the other columns."""
+    key = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("source")).alias("key")
+    taken = mixing.mix(docs).groupBy(key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    told = _keyed(docs).select("row", F.struct(F.col("key.doc_id"), F.col("key.text_hash"), F.col("row").getField("source").cast("string").alias("source")).alias("key"))
+    single = told.join(taken.filter("n = 1 and copies > 0"), "key").select("row", F.col("copies").cast("int").alias("own"))
+    several = told.join(taken.filter("n > 1 and copies > 0"), "key").groupBy("key").agg(F.min("row").alias("row"), F.max("copies").alias("copies"))
+    several = several.withColumn("chunk", F.explode(F.expr("sequence(0L, (copies - 1) div 65536)"))).repartition("key", "chunk")
+    several = several.withColumn("i", F.explode(F.expr("sequence(0L, least(65535L, copies - 1 - chunk * 65536))"))).select("row", F.lit(1).alias("own"))
+    return _rows(single.union(several).withColumn("own", F.explode(F.array_repeat(F.lit(1), F.col("own")))), docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
