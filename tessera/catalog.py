@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import functions, operators, streaming
 from .plans import layout
-from .sources import st_drivers, st_list_proj_crs
+from .shared import shared_path
+from .sources import dispatch, st_drivers, st_list_proj_crs, st_read, st_read_meta, st_write
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -42,10 +43,21 @@ def _quadkey(x: str, y: str, level: int) -> str:
     return _digits(f"CAST(floor(({x} + 180) / 360 * {1 << level}) AS BIGINT)", f"CAST(floor((0.5 - ln((1 + {s}) / (1 - {s})) / (4 * pi())) * {1 << level}) AS BIGINT)", level)
 
 
-DUCK_SEGMENTS = f"{SEG}, seg AS (SELECT l_orderkey, l_linenumber, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pts WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))"
+SEGMENTS = f"{SEG}, seg AS (SELECT l_orderkey, l_linenumber, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pts WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))"
 _HIT = "a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0"
 _NEAR = "sin((c.x - o.x) * pi() / 360)"
 
+def _hilbert_sql() -> str:
+    """The code on a curve of 16 levels, a subquery for each, of three points of each box."""
+    cell = lambda v: f"CAST(floor(({v}) * (65535 / 128.0)) AS BIGINT)"
+    at = f"SELECT p_partkey, 'h' AS n, {cell('(x0 + x1) / 2')} AS x, {cell('(y0 + y1) / 2')} AS y, CAST(0 AS BIGINT) AS d FROM part_box UNION ALL SELECT p_partkey, 'c', {cell('x0')}, {cell('y1')}, CAST(0 AS BIGINT) FROM part_box"
+    for i in range(15, -1, -1):
+        rx, ry = f"((x >> {i}) & 1)", f"((y >> {i}) & 1)"
+        turned = lambda own, other: f"CASE WHEN {ry} = 1 THEN {own} WHEN {rx} = 1 THEN 65535 - {other} ELSE {other} END"  # noqa: B023, E731
+        at = f"SELECT p_partkey, n, {turned('x', 'y')} AS x, {turned('y', 'x')} AS y, d + {1 << 2 * i} * xor(3 * {rx}, {ry}) AS d FROM ({at})"
+    return f"WITH {BOX} SELECT p_partkey, max(d) FILTER (n = 'h') AS h, max(d) FILTER (n = 'h') AS gh, max(d) FILTER (n = 'c') AS c FROM ({at}) GROUP BY p_partkey"
+
+
 #: name: (Spark SQL, SQL with the same rows)
 SQL: dict[str, tuple[str, str]] = {
     "point2d_xy": (f"WITH {POINTS} SELECT o_orderkey, st_x_point2d(p) AS x, st_y_point2d(p) AS y, st_x(g) AS gx, st_y(g) AS gy FROM points", f"WITH {PTS} SELECT o_orderkey, x, y, x AS gx, y AS gy FROM order_pt"),
@@ -55,15 +67,15 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "line_measures": (
         f"WITH {LINES} SELECT l_orderkey, st_npoints_linestring2d(l) AS n, st_startpoint_linestring2d(l).x AS sx, st_endpoint_linestring2d(l).y AS ey, st_pointn_linestring2d(l, 2).x AS x2, round(st_length_linestring2d(l), 6) AS length, st_xmin_linestring2d(l) AS xmin, st_ymax_linestring2d(l) AS ymax FROM lines",
-        f"WITH {DUCK_SEGMENTS} SELECT l_orderkey, count(*) AS n, arg_min(x, l_linenumber) AS sx, arg_max(y, l_linenumber) AS ey, list(x ORDER BY l_linenumber)[2] AS x2, round(coalesce(sum(sqrt((x - px) ** 2 + (y - py) ** 2)), 0), 6) AS length, min(x) AS xmin, max(y) AS ymax FROM seg GROUP BY l_orderkey",
+        f"WITH {SEGMENTS} SELECT l_orderkey, count(*) AS n, arg_min(x, l_linenumber) AS sx, arg_max(y, l_linenumber) AS ey, list(x ORDER BY l_linenumber)[2] AS x2, round(coalesce(sum(sqrt((x - px) ** 2 + (y - py) ** 2)), 0), 6) AS length, min(x) AS xmin, max(y) AS ymax FROM seg GROUP BY l_orderkey",
     ),
     "line_centroid": (
         f"WITH {LINES} SELECT l_orderkey, round(st_centroid_linestring2d(l).x, 6) AS cx, round(st_centroid_linestring2d(l).y, 6) AS cy FROM lines",
-        f"WITH {DUCK_SEGMENTS}, s AS (SELECT *, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM seg) SELECT l_orderkey, round(CASE WHEN coalesce(sum(d), 0) = 0 THEN arg_min(x, l_linenumber) ELSE sum(d * (x + px) / 2) / sum(d) END, 6) AS cx, round(CASE WHEN coalesce(sum(d), 0) = 0 THEN arg_min(y, l_linenumber) ELSE sum(d * (y + py) / 2) / sum(d) END, 6) AS cy FROM s GROUP BY l_orderkey",
+        f"WITH {SEGMENTS}, s AS (SELECT *, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM seg) SELECT l_orderkey, round(CASE WHEN coalesce(sum(d), 0) = 0 THEN arg_min(x, l_linenumber) ELSE sum(d * (x + px) / 2) / sum(d) END, 6) AS cx, round(CASE WHEN coalesce(sum(d), 0) = 0 THEN arg_min(y, l_linenumber) ELSE sum(d * (y + py) / 2) / sum(d) END, 6) AS cy FROM s GROUP BY l_orderkey",
     ),
     "line_geometry_measures": (
         f"WITH {LINES}, gl AS (SELECT l_orderkey, l, st_geometry_linestring2d(l) AS g FROM lines WHERE size(l) > 1) SELECT l_orderkey, CAST(st_npoints(g) AS BIGINT) AS n, round(st_length(g), 6) AS length, st_geometrytype(g) AS kind, st_dimension(g) AS dim, st_ymin(g) AS ymin, st_npoints(st_points(g)) AS n_points, st_x(st_startpoint(g)) AS sx, st_y(st_endpoint(g)) AS ey FROM gl",
-        f"WITH {DUCK_SEGMENTS} SELECT l_orderkey, count(*) AS n, round(sum(sqrt((x - px) ** 2 + (y - py) ** 2)), 6) AS length, 'LINESTRING' AS kind, 1 AS dim, min(y) AS ymin, count(*) AS n_points, arg_min(x, l_linenumber) AS sx, arg_max(y, l_linenumber) AS ey FROM seg GROUP BY l_orderkey HAVING count(*) > 1",
+        f"WITH {SEGMENTS} SELECT l_orderkey, count(*) AS n, round(sum(sqrt((x - px) ** 2 + (y - py) ** 2)), 6) AS length, 'LINESTRING' AS kind, 1 AS dim, min(y) AS ymin, count(*) AS n_points, arg_min(x, l_linenumber) AS sx, arg_max(y, l_linenumber) AS ey FROM seg GROUP BY l_orderkey HAVING count(*) > 1",
     ),
     "poly_measures": (
         f"WITH {POLYS} SELECT k, st_area_polygon2d(p) AS area, st_perimeter_polygon2d(p) AS perimeter, st_ninteriorrings_polygon2d(p) AS holes, st_npoints_polygon2d(p) AS n, st_npoints_linestring2d(st_exteriorring_polygon2d(p)) AS shell, round(st_centroid_polygon2d(p).x, 6) AS cx, st_xmax_polygon2d(p) AS xmax FROM polys",
@@ -86,7 +98,7 @@ SQL: dict[str, tuple[str, str]] = {
     "flip_coordinates": (f"WITH {POINTS} SELECT o_orderkey, st_flipcoordinates_point2d(p).x AS fx, st_y(st_flipcoordinates(g)) AS fy FROM points", f"WITH {PTS} SELECT o_orderkey, y AS fx, x AS fy FROM order_pt"),
     "remove_repeated": (
         f"WITH {LINES}, d AS (SELECT l_orderkey, flatten(transform(l, v -> array(v, v))) AS l FROM lines) SELECT l_orderkey, st_npoints_linestring2d(st_removerepeatedpoints_linestring2d(l)) AS n, st_npoints(st_removerepeatedpoints(st_geometry_linestring2d(l))) AS gn FROM d WHERE size(l) > 2",
-        f"WITH {DUCK_SEGMENTS} SELECT l_orderkey, greatest(2, count(*) FILTER (px IS NULL OR px <> x OR py <> y)) AS n, greatest(2, count(*) FILTER (px IS NULL OR px <> x OR py <> y)) AS gn FROM seg GROUP BY l_orderkey HAVING count(*) > 1",
+        f"WITH {SEGMENTS} SELECT l_orderkey, greatest(2, count(*) FILTER (px IS NULL OR px <> x OR py <> y)) AS n, greatest(2, count(*) FILTER (px IS NULL OR px <> x OR py <> y)) AS gn FROM seg GROUP BY l_orderkey HAVING count(*) > 1",
     ),
     "wkt_texts": (
         f"WITH {BOXES} SELECT p_partkey, st_astext(g) AS t, st_astext_box2d(b) AS bt, st_astext(st_centroid(g)) AS c FROM boxes",
@@ -106,14 +118,15 @@ SQL: dict[str, tuple[str, str]] = {
         f"WITH {BOX} SELECT p_partkey, CAST(2 AS BIGINT) AS n, CAST(5 AS BIGINT) AS np, x1 AS rx, true AS same, true AS ok, round(x0 + 0.3, 1) AS px FROM part_box",
     ),
     "line_merge": (f"WITH {BOXES} SELECT p_partkey, st_geometrytype(st_linemerge(st_collect(array(st_makeline(st_point(b.min_x, b.min_y), st_point(b.max_x, b.min_y)), st_makeline(st_point(b.max_x, b.min_y), st_point(b.max_x, b.max_y)))))) AS k, st_length(st_linemerge(st_collect(array(st_makeline(st_point(b.min_x, b.min_y), st_point(b.max_x, b.min_y)), st_makeline(st_point(b.max_x, b.min_y), st_point(b.max_x, b.max_y)))), true)) AS l, st_length(st_shortestline(g, st_point(b.max_x + 3, b.max_y))) AS s, st_dwithin(g, st_point(b.max_x + 3, b.max_y), 3D) AS near, st_isclosed(st_exteriorring(g)) AS cl, st_isring(st_exteriorring(g)) AS r, st_issimple(g) AS si FROM boxes", f"WITH {BOX} SELECT p_partkey, 'LINESTRING' AS k, (x1 - x0) + (y1 - y0) AS l, CAST(3 AS DOUBLE) AS s, true AS near, true AS cl, true AS r, true AS si FROM part_box"),
-    "extent_agg": (f"WITH {POINTS} SELECT o_custkey % 20 AS grp, min(st_extent(g).min_x) AS min_x, max(st_extent(g).max_y) AS max_y, st_area(st_makeenvelope(min(st_extent(g).min_x), min(st_extent(g).min_y), max(st_extent(g).max_x), max(st_extent(g).max_y))) AS area FROM points GROUP BY o_custkey % 20", f"WITH {PTS} SELECT o_custkey % 20 AS grp, min(x) AS min_x, max(y) AS max_y, (max(x) - min(x)) * (max(y) - min(y)) AS area FROM order_pt GROUP BY o_custkey % 20"),
+    "extent_agg": (f"WITH {POINTS} SELECT o_custkey % 20 AS grp, min(st_extent(g).min_x) AS min_x, max(st_extent(g).max_y) AS max_y, st_area(st_extent_agg(g)) AS area FROM points GROUP BY o_custkey % 20", f"WITH {PTS} SELECT o_custkey % 20 AS grp, min(x) AS min_x, max(y) AS max_y, (max(x) - min(x)) * (max(y) - min(y)) AS area FROM order_pt GROUP BY o_custkey % 20"),
     "transform_3857": (f"WITH {PTS} SELECT o_orderkey, round(st_x(st_transform(st_point(y, x), 'EPSG:4326', 'EPSG:3857')), 3) AS e, round(st_transform_point2d(st_point2d(x, y), 'EPSG:4326', 'EPSG:3857', true).y, 3) AS n FROM order_pt", f"WITH {PTS} SELECT o_orderkey, round(6378137 * x * pi() / 180, 3) AS e, round(6378137 * ln(tan(pi() / 4 + y * pi() / 360)), 3) AS n FROM order_pt"),
     "transform_utm_round_trip": (f"WITH {PTS}, t AS (SELECT o_orderkey, st_transform(st_point(x / 60 + 15, y / 2), 'OGC:CRS84', 'EPSG:32633') AS g, x, y FROM order_pt) SELECT o_orderkey, round(st_x(st_transform(g, 'EPSG:32633', 'OGC:CRS84')), 6) AS x, round(st_y(st_transform(g, 'EPSG:32633', 'OGC:CRS84')), 6) AS y FROM t", f"WITH {PTS} SELECT o_orderkey, round(x / 60 + 15, 6) AS x, round(y / 2, 6) AS y FROM order_pt"),
     "window_rank_by_distance": (f"WITH {POINTS} SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY st_distance_point2d(p, st_point2d(0D, 0D)), o_orderkey) AS BIGINT) AS r FROM points", f"WITH {PTS} SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY sqrt(x * x + y * y), o_orderkey) AS r FROM order_pt"),
     "knn_topk": (f"WITH {POINTS} SELECT o_orderkey, st_distance_point2d(p, st_point2d(10D, 10D)) AS d FROM points ORDER BY d, o_orderkey LIMIT 25", f"WITH {PTS} SELECT o_orderkey, sqrt((x - 10) * (x - 10) + (y - 10) * (y - 10)) AS d FROM order_pt ORDER BY d, o_orderkey LIMIT 25"),
     "group_rollup": (f"WITH {BOXES} SELECT p_partkey % 3 AS a, p_partkey % 2 AS b, count(*) AS n, sum(st_area_box2d(boxes.b)) AS area FROM boxes GROUP BY ROLLUP (p_partkey % 3, p_partkey % 2)", f"WITH {BOX} SELECT p_partkey % 3 AS a, p_partkey % 2 AS b, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM part_box GROUP BY ROLLUP (p_partkey % 3, p_partkey % 2)"),
     "spheroid_measures": (f"WITH {PTS} SELECT o_orderkey, st_distance_spheroid(st_point(y, x), st_point(y / 2, x / 2)) AS d, st_area_spheroid(st_makeenvelope(y / 2, x / 2, y / 2 + 1, x / 2 + 1)) AS a, st_perimeter_spheroid(st_makeenvelope(y / 2, x / 2, y / 2 + 1, x / 2 + 1)) AS p, st_dwithin_spheroid(st_point(y, x), st_point(y / 2, x / 2), 1e6) AS w FROM order_pt", ""),
-    "hilbert": (f"WITH {BOXES} SELECT p_partkey, st_hilbert_box2d(b, st_box2d(0D, 0D, 128D, 128D)) AS h, st_hilbert_world(g) AS w FROM boxes", ""),
+    "hilbert": (f"WITH {BOXES} SELECT p_partkey, st_hilbert_box2d(b, st_box2d(0D, 0D, 128D, 128D)) AS h, st_hilbert(g, st_box2d(0D, 0D, 128D, 128D)) AS gh, st_hilbert_xy(b.min_x, b.max_y, st_box2d(0D, 0D, 128D, 128D)) AS c FROM boxes", _hilbert_sql()),
+    "hilbert_world": (f"WITH {BOXES} SELECT p_partkey, st_hilbert_world(g) AS w FROM boxes", ""),
     "svg": (f"WITH {BOXES} SELECT p_partkey, st_assvg(g) AS s FROM boxes", f"WITH {BOX}, n AS (SELECT p_partkey, CAST(CAST(x0 AS INT) AS VARCHAR) AS a, CASE WHEN y0 = 0 THEN '0' ELSE '-' || CAST(CAST(y0 AS INT) AS VARCHAR) END AS b, CAST(CAST(x1 AS INT) AS VARCHAR) AS c, '-' || CAST(CAST(y1 AS INT) AS VARCHAR) AS d FROM part_box) SELECT p_partkey, 'M ' || a || ' ' || b || ' L ' || a || ' ' || d || ' ' || c || ' ' || d || ' ' || c || ' ' || b || ' Z' AS s FROM n"),
     "tile_counts_in_polygon": (
         f"WITH {POINTS} SELECT st_quadkey(g, 5) AS tile, count(*) AS n, min(p.x) AS min_x, max(p.y) AS max_y FROM points WHERE st_within_point2d(p, array(array(st_point2d(-120.125D, 0.125D), st_point2d(0.125D, 60.125D), st_point2d(120.125D, 0.125D), st_point2d(0.125D, -60.125D), st_point2d(-120.125D, 0.125D)))) GROUP BY st_quadkey(g, 5)",
@@ -127,6 +140,69 @@ SQL["tile_counts_in_polygon"] = (
 )
 
 
+#: Points with Z and M, segments that cross or not, quadrilaterals that are simple or not, all by the keys.
+Z4 = "z4 AS (SELECT o_orderkey AS k, x, y, CAST(o_custkey % 50 AS DOUBLE) AS z, CAST(o_orderkey % 9 AS DOUBLE) AS m FROM order_pt)"
+CROSS = "cross_at AS (SELECT o_orderkey AS k, CAST(o_orderkey % 13 - 1 AS DOUBLE) AS v, CAST(o_custkey % 7 AS DOUBLE) AS a, CAST(o_custkey % 7 + 1 + o_orderkey % 5 AS DOUBLE) AS b FROM orders)"
+QUAD = "quad AS (SELECT o_orderkey AS k, CAST(2 * (o_orderkey % 5) + 1 AS DOUBLE) AS u, CAST(2 * (o_custkey % 6) AS DOUBLE) AS w FROM orders)"
+_RING = "array(st_point(0D, 0D), st_point(10D, 0D), st_point(u, 5D), st_point(w, 5D), st_point(0D, 0D))"
+_DEG, _A, _N = "pi() / 180", 6378137.0, 0.00167922038638370431
+
+
+def _meridian(lat: str) -> str:
+    """Distance from the equator along a meridian of the WGS 84 spheroid, by its series."""
+    n, t = _N, f"(({lat}) * {_DEG})"
+    terms = [f"{1 + n**2 / 4 + n**4 / 64!r} * {t}", *[f"{c!r} * sin({i} * {t})" for i, c in ((2, -1.5 * (n - n**3 / 8)), (4, 15 / 16 * (n**2 - n**4 / 4)), (6, -35 / 48 * n**3), (8, 315 / 512 * n**4))]]
+    return f"({_A / (1 + n)!r} * ({' + '.join(terms)}))"
+
+
+SQL |= {
+    "zm_accessors": (
+        f"WITH {PTS}, {Z4}, g AS (SELECT *, st_force4d(st_point(x, y), z, m) AS p, st_makeline(st_force4d(st_point(x, y), z, m), st_force4d(st_point(x + 3, y - 2), z + 5, m - 2)) AS l FROM z4) SELECT k, st_z(p) AS pz, st_m(p) AS pm, st_zmin(l) AS zmin, st_zmax(l) AS zmax, st_mmin(l) AS mmin, st_mmax(l) AS mmax, st_xmin(l) AS xmin, st_xmax(l) AS xmax, st_ymin(l) AS ymin, st_ymax(l) AS ymax, st_numpoints(l) AS n FROM g",
+        f"WITH {PTS}, {Z4} SELECT k, z AS pz, m AS pm, z AS zmin, z + 5 AS zmax, m - 2 AS mmin, m AS mmax, x AS xmin, x + 3 AS xmax, y - 2 AS ymin, y AS ymax, CAST(2 AS BIGINT) AS n FROM z4",
+    ),
+    "points_of_more_dimensions": (
+        f"WITH {PTS}, {Z4}, p AS (SELECT *, st_point3d(x, y, z) AS p3, st_point4d(x, y, z, m) AS p4, st_point2d(x, y) AS p2 FROM z4) SELECT k, p3.z AS z3, p4.m AS m4, st_point3d_to_point2d(p3).x AS x3, st_point4d_to_point2d(p4).y AS y4, st_x(st_geometry_point2d(p2)) AS gx, st_point2d_from_geometry(st_point(x, y)).y AS py, st_xmin_point2d(p2) AS a, st_xmax_point2d(p2) AS b, st_ymin_point2d(p2) AS c, st_ymax_point2d(p2) AS d, st_npoints_point2d(p2) AS n, st_area_point2d(p2) AS area, st_centroid_point2d(p2).x AS cx, st_geometrytype_point2d(p2) AS kind, st_astext_point2d(p2) AS t FROM p",
+        f"WITH {PTS}, {Z4} SELECT k, z AS z3, m AS m4, x AS x3, y AS y4, x AS gx, y AS py, x AS a, x AS b, y AS c, y AS d, CAST(1 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS area, x AS cx, 'POINT' AS kind, 'POINT (' || CAST(CAST(x AS INT) AS VARCHAR) || ' ' || CAST(CAST(y AS INT) AS VARCHAR) || ')' AS t FROM z4",
+    ),
+    "wkb_in": (
+        f"WITH {BOXES}, w AS (SELECT p_partkey, b, g, st_aswkb(st_point(b.min_x, b.max_y)) AS p, st_aswkb(st_makeline(st_point(b.min_x, b.min_y), st_point(b.max_x, b.max_y))) AS l, st_aswkb(st_makepolygon(st_exteriorring(g))) AS r FROM boxes) SELECT p_partkey, st_x(st_geomfromwkb(p)) AS px, st_point2dfromwkb(p).y AS py, st_linestring2dfromwkb(l)[1].x AS lx, st_linestring2d_from_geometry(l)[0].y AS ly, st_area_polygon2d(st_polygon2dfromwkb(r)) AS area, st_xmin_polygon2d(st_polygon2dfromwkb(r)) AS xmin, st_ymax_polygon2d(st_polygon2dfromwkb(r)) AS ymax, st_y(st_geomfromhexewkb(st_ashexwkb(p))) AS hy, st_extent_wkb(r).max_x AS ex, st_area(st_makepolygon(st_exteriorring(g))) AS made FROM w",
+        f"WITH {BOX} SELECT p_partkey, x0 AS px, y1 AS py, x1 AS lx, y0 AS ly, (x1 - x0) * (y1 - y0) AS area, x0 AS xmin, y1 AS ymax, y1 AS hy, x1 AS ex, (x1 - x0) * (y1 - y0) AS made FROM part_box",
+    ),
+    "approximate_boxes": (
+        f"WITH {BOXES}, a AS (SELECT p_partkey, st_extent_approx(g) AS f FROM boxes) SELECT p_partkey, CAST(st_xmin_box2df(f) AS DOUBLE) AS x0, CAST(st_xmax_box2df(f) AS DOUBLE) AS x1, CAST(st_ymin_box2df(f) AS DOUBLE) AS y0, CAST(st_ymax_box2df(f) AS DOUBLE) AS y1, st_centroid_box2df(f).x AS cx, st_area(st_geometry_box2df(f)) AS area FROM a",
+        f"WITH {BOX} SELECT p_partkey, x0, x1, y0, y1, (x0 + x1) / 2 AS cx, (x1 - x0) * (y1 - y0) AS area FROM part_box",
+    ),
+    "columnar_overloads": (
+        f"WITH {BOXES}, c AS (SELECT p_partkey, b, array(st_point2d(b.min_x, b.min_y), st_point2d(b.max_x, b.max_y)) AS l, st_polygon2d_from_geometry(g) AS p FROM boxes) SELECT p_partkey, st_geometrytype_linestring2d(l) AS lk, st_geometrytype_polygon2d(p) AS pk, st_isempty_linestring2d(l) AS le, st_isempty_polygon2d(slice(p, 1, CAST(p_partkey % 2 AS INT))) AS pe, st_area_linestring2d(l) AS la, st_astext_linestring2d(l) AS lt, st_flipcoordinates_linestring2d(l)[1].x AS fl, st_flipcoordinates_polygon2d(p)[0][0].x AS fp, st_flipcoordinates_box2d(b).max_x AS fb, st_extent_linestring2d(l).max_y AS ey, st_xmax_linestring2d(l) AS lx, st_ymin_linestring2d(l) AS ly, st_xmax_polygon2d(p) AS px, st_ymin_polygon2d(p) AS py, st_distance_linestring2d_point2d(l, st_point2d(b.min_x - 3, b.min_y - 4)) AS d, st_area(st_geometry_box2d(b)) AS ba, st_isvalid_linestring2d(l) AS lv, st_npoints_polygon2d(p) AS n, st_xmax_box2d(b) AS bx, st_ymin_box2d(b) AS bmin FROM c",
+        f"WITH {BOX}, t AS (SELECT *, CAST(CAST(x0 AS INT) AS VARCHAR) || ' ' || CAST(CAST(y0 AS INT) AS VARCHAR) || ', ' || CAST(CAST(x1 AS INT) AS VARCHAR) || ' ' || CAST(CAST(y1 AS INT) AS VARCHAR) AS ends FROM part_box) SELECT p_partkey, 'LINESTRING' AS lk, 'POLYGON' AS pk, false AS le, p_partkey % 2 = 0 AS pe, CAST(0 AS DOUBLE) AS la, 'LINESTRING (' || ends || ')' AS lt, y1 AS fl, y0 AS fp, y1 AS fb, y1 AS ey, x1 AS lx, y0 AS ly, x1 AS px, y0 AS py, CAST(5 AS DOUBLE) AS d, (x1 - x0) * (y1 - y0) AS ba, true AS lv, CAST(5 AS BIGINT) AS n, x1 AS bx, y0 AS bmin FROM t",
+    ),
+    "points_and_parts": (
+        f"WITH {LINES}, gl AS (SELECT l_orderkey, st_geometry_linestring2d(l) AS g FROM lines WHERE size(l) > 1) SELECT l_orderkey, st_x(st_pointn(g, CAST(1 + l_orderkey % 2 AS INT))) AS x, st_y(st_pointn(g, -1)) AS y, st_numpoints(g) AS n, st_numgeometries(st_collect(array(g, st_reverse(g), st_startpoint(g)))) AS parts, coalesce(st_numinteriorrings(st_buffer(st_startpoint(g), 1D)), -1) AS holes FROM gl",
+        f"WITH {SEGMENTS} SELECT l_orderkey, list(x ORDER BY l_linenumber)[CAST(1 + l_orderkey % 2 AS INT)] AS x, arg_max(y, l_linenumber) AS y, count(*) AS n, 3 AS parts, 0 AS holes FROM seg GROUP BY l_orderkey HAVING count(*) > 1",
+    ),
+    "line_predicates": (
+        f"WITH {CROSS}, l AS (SELECT k, st_makeline(st_point(0D, 5D), st_point(10D, 5D)) AS f, st_makeline(st_point(v, a), st_point(v, b)) AS g FROM cross_at) SELECT k, st_crosses(f, g) AS c, st_intersects(f, g) AS i, st_disjoint(g, f) AS d, st_touches(g, f) AS t, st_dwithin(f, g, 1D) AS w, st_distance(f, g) AS far, st_length(st_shortestline(f, g)) AS s FROM l",
+        f"WITH {CROSS}, h AS (SELECT *, v >= 0 AND v <= 10 AND a <= 5 AND b >= 5 AS i, v > 0 AND v < 10 AND a < 5 AND b > 5 AS c, sqrt(greatest(0, -v, v - 10) ** 2 + greatest(0, a - 5, 5 - b) ** 2) AS far FROM cross_at) SELECT k, c, i, NOT i AS d, i AND NOT c AS t, far <= 1 AS w, far, far AS s FROM h",
+    ),
+    "ring_validity": (
+        f"WITH {QUAD}, r AS (SELECT k, u, w, st_makeline_list({_RING}) AS l, st_makeline_list(slice({_RING}, 1, 4 + CAST(k % 2 AS INT))) AS part FROM quad) SELECT k, st_issimple(l) AS s, st_isring(l) AS r, st_isvalid(st_makepolygon(l)) AS v, st_isclosed(part) AS c, st_isring(part) AS pr, st_isvalid(st_makevalid(st_makepolygon(l))) AS fixed, st_isvalid_polygon2d(array(array(st_point2d(0D, 0D), st_point2d(10D, 0D), st_point2d(u, 5D), st_point2d(w, 5D), st_point2d(0D, 0D)))) AS cv FROM r",
+        f"WITH {QUAD} SELECT k, u > w AS s, u > w AS r, u > w AS v, k % 2 = 1 AS c, u > w AND k % 2 = 1 AS pr, true AS fixed, u > w AS cv FROM quad",
+    ),
+    "spheroid_lines": (
+        f"WITH {PTS} SELECT o_orderkey, round(st_distance_spheroid(st_point(0D, x / 4), st_point(0D, y / 4)), 3) AS equator, round(st_distance_spheroid_point2d(st_point2d(x / 4, 7D), st_point2d(y / 2, 7D)), 3) AS meridian, round(st_length_spheroid(st_makeline_list(array(st_point(0D, x / 4), st_point(0D, y / 4), st_point(y / 2, y / 4)))), 3) AS both_ways, round(st_length_spheroid_linestring2d(array(st_point2d(x / 4, 3D), st_point2d(y / 2, 3D))), 3) AS columnar, st_dwithin_spheroid(st_point(0D, x / 4), st_point(0D, y / 4), 2e6) AS near, st_dwithin_spheroid_point2d(st_point2d(0D, x / 4), st_point2d(0D, y / 4), 1e6) AS nearer FROM order_pt",
+        f"WITH {PTS}, d AS (SELECT o_orderkey, {_A} * abs(x - y) / 4 * {_DEG} AS e, abs({_meridian('x / 4')} - {_meridian('y / 2')}) AS m, abs({_meridian('y / 2')}) AS up FROM order_pt) SELECT o_orderkey, round(e, 3) AS equator, round(m, 3) AS meridian, round(e + up, 3) AS both_ways, round(m, 3) AS columnar, e <= 2e6 AS near, e <= 1e6 AS nearer FROM d",
+    ),
+    "sql_aggregates": (
+        f"WITH {PTS}, c AS (SELECT o_custkey % 7 AS grp, st_makeenvelope(x, y, x + 1, y + 1) AS g, st_makeenvelope(x - 400, y - 400, x + 400, y + 400) AS wide FROM order_pt) SELECT grp, st_area(st_union_agg(g)) AS u, st_area(st_intersection_agg(wide)) AS i, st_xmin(st_extent_agg(g)) AS x0, st_ymax(st_envelope_agg(g)) AS y1 FROM c GROUP BY grp",
+        f"WITH {PTS} SELECT o_custkey % 7 AS grp, CAST(count(DISTINCT (x, y)) AS DOUBLE) AS u, CAST((800 - (max(x) - min(x))) * (800 - (max(y) - min(y))) AS DOUBLE) AS i, min(x) AS x0, max(y) + 1 AS y1 FROM order_pt GROUP BY o_custkey % 7",
+    ),
+    "transform_boxes": (
+        f"WITH {BOXES} SELECT p_partkey, round(st_transform_box2d(b, 'EPSG:4326', 'EPSG:3857', true).min_x, 3) AS x0, round(st_transform_box2d(st_box2d(b.min_x, b.min_y / 2, b.max_x, b.max_y / 2), 'EPSG:4326', 'EPSG:3857', true).max_y, 3) AS y1 FROM boxes",
+        f"WITH {BOX} SELECT p_partkey, round(6378137 * x0 * pi() / 180, 3) AS x0, round(6378137 * ln(tan(pi() / 4 + y1 * pi() / 720)), 3) AS y1 FROM part_box",
+    ),
+}
+
+
 def _views(spark: SparkSession, sf_dir: str) -> SparkSession:
     functions.register(spark)
     for name in TABLES:
@@ -223,7 +299,38 @@ def makeline_agg(spark, d):
 
 
 def layout_window(spark, d):
-    return layout.window(layout.with_bbox(_boxes(spark, d), "b"), (20.0, 20.0, 40.0, 40.0)).select("p_partkey")
+    """Writes the boxes in Hilbert order and reads a window of them."""
+    path = shared_path(spark)
+    layout.write_clustered(_boxes(spark, d), "b", path, 8)
+    return layout.window(spark.read.parquet(path), (20.0, 20.0, 40.0, 40.0)).select("p_partkey")
+
+
+def _written(spark, d, driver: str, name: str) -> str:
+    """The path of a file (or folder) of a driver with a point for each part."""
+    path = shared_path(spark, name)
+    st_write(frame(spark, d, BOX, "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, st_point(x0, y1) AS geom FROM part_box JOIN part USING (p_partkey)"), path, driver)
+    return path
+
+
+def source(driver: str, name: str, **options):
+    """Writes a point for each part and reads the file again, by its name."""
+
+    def run(spark, d):
+        got = st_read(spark, _written(spark, d, driver, name), **options)
+        return got.select(F.col("id").cast("bigint").alias("id"), "name", F.round(F.col("price").cast("double"), 2).alias("price"), F.call_function("st_x", "geom").alias("x"), F.call_function("st_y", "geom").alias("y"))
+
+    return run
+
+
+def source_meta(spark, d):
+    read = st_read_meta(spark, _written(spark, d, "GeoJSON", "parts.geojson"))
+    one = F.col("layers")[0]
+    return read.select("driver_short_name", one["feature_count"].alias("n"), one["geometry_fields"][0]["type"].alias("kind"), F.size(one["fields"]).cast("bigint").alias("fields"))
+
+
+def shapefile_meta(spark, d):
+    read = dispatch.shapefile_meta(spark, _written(spark, d, "ESRI Shapefile", "parts.shp"))
+    return read.select("shape_type", F.col("bounds.min_x").alias("x0"), F.col("bounds.max_y").alias("y1"), F.col("count").cast("bigint").alias("n"))
 
 
 def streaming_tile_counts(spark, d):
@@ -238,6 +345,7 @@ def generate_points(spark, d):
     return p.agg(F.count("*").alias("n"), F.sum(inside.cast("bigint")).alias("inside"))
 
 
+_READ = f"WITH {BOX} SELECT p_partkey AS id, p_name AS name, round(p_retailprice, 2) AS price, x0 AS x, y1 AS y FROM part_box JOIN part USING (p_partkey)"
 _IN = "o.x >= b.x0 AND o.x <= b.x1 AND o.y >= b.y0 AND o.y <= b.y1"
 FRAMES: dict[str, tuple] = {
     "point_in_polygon": (point_in_polygon, f"WITH {PTS}, {NATION} SELECT k, count(*) AS n FROM order_pt o JOIN squares s ON o.x > lo AND o.x < hi AND o.y > lo AND o.y < hi AND NOT (hole = 1 AND o.x > lo + 2.375 AND o.x < lo + 3.375 AND o.y > lo + 2.375 AND o.y < lo + 3.375) GROUP BY k"),
@@ -257,6 +365,10 @@ FRAMES: dict[str, tuple] = {
     "layout_window": (layout_window, f"WITH {BOX} SELECT p_partkey FROM part_box WHERE x0 <= 40 AND x1 >= 20 AND y0 <= 40 AND y1 >= 20"),
     "streaming_tile_counts": (streaming_tile_counts, f"WITH e AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts, TIMESTAMP '1970-01-01') AS w, {_quadkey('CAST(user_id % 64 AS DOUBLE)', 'CAST(event_id % 64 AS DOUBLE)', 4)} AS tile FROM events), c AS (SELECT w, tile, count(*) AS n FROM e GROUP BY w, tile) SELECT tile, CAST(sum(n) AS BIGINT) AS n, count(*) AS windows FROM c GROUP BY tile"),
     "generate_points": (generate_points, "SELECT CAST(10000 AS BIGINT) AS n, CAST(10000 AS BIGINT) AS inside"),
+    **{f"source_{n}": (source(driver, name), _READ) for n, driver, name in (("geojson", "GeoJSON", "p.geojson"), ("geojsonseq", "GeoJSONSeq", "p.geojsonl"), ("shapefile", "ESRI Shapefile", "p.shp"), ("csv", "CSV", "p.csv"), ("parquet", "Parquet", "p.parquet"))},
+    "source_window": (source("GeoJSONSeq", "w.geojsonl", bbox=(20.0, 20.0, 60.0, 40.0)), _READ + " WHERE x0 >= 20 AND x0 <= 60 AND y1 >= 20 AND y1 <= 40"),
+    "source_meta": (source_meta, "SELECT 'GeoJSON' AS driver_short_name, count(*) AS n, 'POINT' AS kind, CAST(3 AS BIGINT) AS fields FROM part"),
+    "shapefile_meta": (shapefile_meta, f"WITH {BOX} SELECT 'POINT' AS shape_type, min(x0) AS x0, max(y1) AS y1, count(*) AS n FROM part_box"),
     "drivers": (lambda spark, d: st_drivers(spark), ""),
     "crs_list": (lambda spark, d: st_list_proj_crs(spark), ""),
 }

@@ -29,13 +29,12 @@ def _fold(df: DataFrame, keys: list[str], geom: str, out: str, function: str, or
     """Salted two-level fold of a function over arrays of geometries: what a task gathers is bounded by PART at the first
     level; the number of parts of a group is bounded by further levels until one is left."""
     register(df.sparkSession)
-    rows = df.select(*keys, F.col(geom).alias("_g")).filter("_g is not null")
+    rows = df.select(*keys, F.col(geom).alias("_g")).filter("_g is not null").distinct()  # neither function minds repeats
     largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     key = F.call_function("st_hilbert_world", "_g") if order == "hilbert" else F.xxhash64("_g")
     rows = rows.withColumn("_h", F.coalesce(key, F.lit(0).cast("long")))
     while largest > PART:
         parts = -(-largest // PART)
-        # neighbours on the curve merge first, and a hash spreads equal codes
         rows = rows.withColumn("_p", F.pmod(F.xxhash64("_h", "_g"), F.lit(parts)))
         rows = rows.groupBy(*keys, "_p").agg(F.call_function(function, F.collect_list("_g")).alias("_g"), F.min("_h").alias("_h"))
         largest = parts
@@ -49,7 +48,7 @@ def union_agg(df: DataFrame, keys: list[str], geom: str, out: str = "union") ->
 
 def intersection_agg(df: DataFrame, keys: list[str], geom: str, out: str = "intersection") -> DataFrame:
     """st_intersection_agg: intersection of each group."""
-    return _fold(df.select(*keys, geom).distinct(), keys, geom, out, "st_intersection_list", None)
+    return _fold(df, keys, geom, out, "st_intersection_list", None)
 
 
 def collect_agg(df: DataFrame, keys: list[str], geom: str, out: str = "collection") -> DataFrame:

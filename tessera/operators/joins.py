@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import register
+from ..shared import drop, settle
 
 MOST_CELLS, STEP = 16, 8
 BOUNDED = ("equals", "intersects", "touches", "crosses", "within", "contains", "overlaps", "covers", "coveredby", "containsproperly")
@@ -50,7 +51,8 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     spark = register(left.sparkSession)
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"no join type {how!r}")
-    a = left.withColumn("_lid", F.monotonically_increasing_id()) if how != "inner" else left
+    # numbered once and written, so that the rows that are joined back have the numbers that were joined
+    a = settle(left.withColumn("_lid", F.monotonically_increasing_id())) if how != "inner" else left
     lb, rb = bounds_of(left, left_geom), bounds_of(right, right_geom)
     a = a.withColumn("_lb", F.when(lb.isNotNull(), F.struct((lb["min_x"] - distance).alias("min_x"), (lb["min_y"] - distance).alias("min_y"), (lb["max_x"] + distance).alias("max_x"), (lb["max_y"] + distance).alias("max_y"))))
     b = right.withColumn("_rb", rb).filter("_rb is not null and not isnan(_rb.min_x)")
@@ -106,27 +108,47 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     return whole.join(ids.select("_lid").distinct(), "_lid", "left_semi" if how == "semi" else "left_anti").drop("_lid")
 
 
+def _usable(df: DataFrame, point: str) -> DataFrame:
+    """Rows whose point is neither null nor empty nor infinite."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return df.filter(finite(F.col(point)["x"]) & finite(F.col(point)["y"]))
+
+
 def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_point: str, right_point: str, k: int, cell: float) -> DataFrame:
-    """For each left point the k nearest right points (POINT_2D; ties to the smaller right id).
+    """For each left point the k nearest right points (POINT_2D; ties to the smaller right id), as left_id, right_id, distance, rank.
 
     Rings of cells are searched, doubling the reach until k are found within it, so
-    each round is an equi-join on cells of the points that are still open."""
+    each round is an equi-join on cells of the points that are still open; what is found
+    and what is open are written each round. The reach ends with the extent of all points,
+    where a search meets every right point. Rows whose point is null, empty or infinite
+    find nothing and are not found; if there are fewer than k right points, all are found;
+    rows that repeat an id are points of their own; a side without points gives no rows."""
     register(left.sparkSession)
     distance = F.call_function("st_distance_point2d", left_point, right_point).alias("distance")
-    total = right.count()
-    best = Window.partitionBy(left_id).orderBy("distance", right_id)
-    open_, done, reach = left, None, 1
+    open_ = settle(_usable(left.select(left_id, left_point), left_point).withColumn("_lid", F.monotonically_increasing_id()))
+    points = settle(_usable(right.select(right_id, right_point), right_point))
+    extent = lambda df, p: df.agg(F.count("*").alias("n"), *[f(F.col(p)[o]).alias(f"{o}{e}") for o in "xy" for e, f in (("a", F.min), ("b", F.max))]).first()
+    a, b = extent(open_, left_point), extent(points, right_point)
+    total = b.n
+    if not a.n or not total:
+        return open_.join(points, F.lit(False)).select(left_id, right_id, distance, F.lit(1).alias("rank"))
+    span = max(max(a.xb, b.xb) - min(a.xa, b.xa), max(a.yb, b.yb) - min(a.ya, b.ya))
+    best = Window.partitionBy("_lid").orderBy("distance", right_id)
+    done, size = None, float(cell)
     while True:
-        size = cell * reach
-        r = right.withColumn("_cx", F.floor(F.col(right_point)["x"] / size)).withColumn("_cy", F.floor(F.col(right_point)["y"] / size))
+        r = points.withColumn("_cx", F.floor(F.col(right_point)["x"] / size)).withColumn("_cy", F.floor(F.col(right_point)["y"] / size))
         near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         l = open_.withColumn("_n", F.explode(near)).withColumn("_cx", F.floor(F.col(left_point)["x"] / size) + F.col("_n.i")).withColumn("_cy", F.floor(F.col(left_point)["y"] / size) + F.col("_n.j")).drop("_n")  # noqa: E741
-        met = l.join(r, ["_cx", "_cy"]).select(left_id, right_id, distance).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        sure = met.filter(F.col("distance") <= size)  # all points within the reach have been met
-        full = sure.groupBy(left_id).count().filter(F.col("count") >= min(k, total)).select(left_id)
-        got = met.join(full, left_id, "left_semi")
+        met = settle(l.join(r, ["_cx", "_cy"]).select("_lid", left_id, right_id, distance).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+        last = size > span  # all points have been met
+        sure = met if last else met.filter(F.col("distance") <= size)  # all points within the reach have been met
+        full = sure.groupBy("_lid").count().filter(F.col("count") >= min(k, total)).select("_lid")
+        got = met.join(full, "_lid", "left_semi").select(left_id, right_id, "distance", "rank")
         done = got if done is None else done.union(got)
-        open_ = open_.join(full, left_id, "left_anti")
-        if open_.isEmpty() or not total or reach > 1 << 40:
+        if last:
+            return done
+        old, open_ = open_, settle(open_.join(full, "_lid", "left_anti"))
+        drop(old)
+        if open_.isEmpty():
             return done
-        reach *= 2
+        size *= 2

@@ -22,13 +22,3 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-
-
-@pytest.fixture(scope="session")
-def duck():
-    import duckdb
-
-    con = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_SMALL}/{name}.parquet'")
-    return con

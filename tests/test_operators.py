@@ -112,3 +112,22 @@ def test_stream_equals_batch(spark, tmp_path):
         query.stop()
     batch = streaming.tile_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "x", "y", 4)
     assert got == {tuple(r) for r in batch.collect()}
+
+
+def test_knn_join_nulls_outliers_and_repeats(spark):
+    nan, inf = float("nan"), float("inf")
+    left = [(1, 0.0, 0.0), (2, None, 1.0), (3, 1e6, 1e6), (4, nan, 0.0), (5, inf, 0.0), (6, 5.0, 5.0), (6, 50.0, 50.0)]
+    right = [(10, 0.0, 1.0), (11, None, None), (12, 1.0, 0.0), (13, -2e5, 3.0), (12, 9.0, 9.0)]
+    frame = lambda rows, i, p: spark.createDataFrame([(k, None if x is None else (x, y)) for k, x, y in rows], f"{i} long, {p} struct<x:double,y:double>")
+    run = lambda a, b, k: sorted((r.a, r.b, r["rank"]) for r in operators.knn_join(a, b, "a", "b", "ap", "bp", k, 1.0).collect())
+    a, b = frame(left, "a", "ap"), frame(right, "b", "bp")
+    assert run(a, b, 2) == [(1, 10, 1), (1, 12, 2), (3, 10, 2), (3, 12, 1), (6, 10, 2), (6, 12, 1), (6, 12, 1), (6, 12, 2)]
+    assert len(run(a, b, 9)) == 4 * 4  # fewer than k: all of them
+    assert run(a, b.filter("b = 11"), 2) == run(a.filter("a = 2"), b, 2) == []
+
+
+def test_outer_joins_of_rows_in_no_order(spark):
+    left = spark.range(400).selectExpr("id", "st_point2d(CAST(id % 20 AS DOUBLE), CAST(id DIV 20 AS DOUBLE)) AS p").repartition(7)
+    right = spark.sql("SELECT 1 AS r, st_box2d(-0.5D, -0.5D, 4.5D, 3.5D) AS b")
+    for how, n in (("left", 400), ("semi", 20), ("anti", 380)):
+        assert operators.spatial_join(left, right, "p", "b", "bounds", how=how).select("id").distinct().count() == n
