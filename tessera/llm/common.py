@@ -1,17 +1,15 @@
-"""What the operators of this subpackage share: reading tables, session
-settings, and cutting lineage with tables in the cluster's shared folder."""
+"""What the operators of this subpackage share: reading tables and session settings."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop, settle, shared_dir
 from ..shipping import ship
 
+__all__ = ["ascii_lower", "count_words", "drop", "key_of", "settle", "shared_dir", "table", "tune"]
+
 #: Rows that an Arrow batch holds at most; long texts make a larger batch too heavy for a Python worker.
 BATCH_ROWS = 1000
 #: Bytes of text that the numpy kernels take at once (about 40 bytes of arrays for each).
@@ -32,46 +30,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests on one machine) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = getattr(spark.sparkContext, "_tessera_dir", None)
-    if made is None:
-        made = spark.sparkContext._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return made
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that later
-    steps neither repeat the work nor depend on the executors that did it. The
-    table goes when it is dropped, or else when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def drop(settled: DataFrame) -> None:
-    """Removes a table of settle that nothing unfinished reads any more."""
-    _remove(settled.sparkSession, settled._tessera_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended before
-        pass
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
