@@ -3,8 +3,10 @@
 MinHash bands find the candidates: with BANDS bands of ROWS minima, a pair at 0.8 shares
 no band with a probability of 3e-6, and a more similar pair with less. Candidates are verified on the complete
 shingle sets. First each text meets the least of its band; then, where a band still has texts
-of different components, all of these pairs are compared, so that no verified pair is lost to
-the order of texts. Links of the SimHash operator (op2) count as well.
+of different components, these are compared with each other, so that no verified pair is lost
+to the order of texts: inside the join, by sketches of SKETCH bits (the lowest bits of as many
+minima, of which a pair at 0.8 shares fewer than the join asks for with a probability of 3e-6),
+and what passes on the sets. Links of the SimHash operator (op2) count as well.
 
 Defined results: a text of fewer words than a shingle is one shingle; null and empty texts
 have none and link by their fingerprint only; repeated rows share a component; an empty
@@ -12,6 +14,7 @@ table gives an empty result."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from .common import settle, tune
 from .components import components
 from .simhash import simhash_groups
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
+SHINGLE, SIMILARITY, BANDS, ROWS, SKETCH, ERRORS = 5, 0.8, 32, 5, 2048, 4.5
 _ODD = np.random.default_rng(20240608).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -82,6 +85,21 @@ def _sets(batches: Iterator[pa.RecordBatch]):
             at += len(made)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]):
+    """SKETCH bits of each set, as longs: two sets share a bit with a probability of (1 + J) / 2."""
+    odd = np.random.default_rng(20240609).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        rows = []
+        for own in batch.column(1):
+            grams = np.asarray(own.values, dtype=np.int64).view(np.uint64)
+            least = np.full(SKETCH, 2**64 - 1, np.uint64)
+            for at in range(0, len(grams), 512):
+                np.minimum(least, T.mix(grams[at : at + 512, None] * odd).min(axis=0), out=least)
+            rows.append(np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64))
+        made = np.array(rows, np.int64).reshape(-1, SKETCH // 64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(SKETCH // 64))], ["h", *(f"s{i}" for i in range(SKETCH // 64))])
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     one, two = sets.select(F.col("h").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("h").alias("b"), F.col("grams").alias("gb"))
@@ -109,7 +127,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rooted = held.select("key", "h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     left = settle(rooted.join(open_, "key"))
-    one, two = (left.select("key", *[F.col(c).alias(c + s) for c in ("h", "n", "root")]) for s in "ab")
-    cross = one.join(two, "key").filter("roota < rootb").filter(sized(F.col("na"), F.col("nb"))).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+    sketched = settle(left.join(sets.join(left.select("h").distinct(), "h", "left_semi").mapInArrow(_sketches, "h long, " + ", ".join(f"{w} long" for w in words)), "h"))
+    one, two = (sketched.select("key", *[F.col(c).alias(c + s) for c in ("h", "n", "root", *words)]) for s in "ab")
+    differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+    share = (1 - similarity) / 2
+    most = math.ceil(SKETCH * share + ERRORS * math.sqrt(SKETCH * share * (1 - share)))
+    cross = one.join(two, "key").filter("roota < rootb").filter(sized(F.col("na"), F.col("nb")) & (differ <= most)).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
     found = components(links.union(_alike(cross, sets, similarity)))
     return groups.join(found.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
