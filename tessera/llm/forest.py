@@ -4,18 +4,25 @@ A tree is a sorted array of long hash strings (the signs of BITS random projecti
 A query descends in every tree with PROBES strings (its own, and those with its least
 certain signs turned) to the longest prefix that each shares with any entry, and then
 all trees ascend together, a level at a time, until the entries under the query's
-prefixes are at least CANDIDATES (an entry counts once for each tree that holds it). Of
-these, the SHORTLIST nearest by sketches (unit vectors in 8 bits a component, whose cosines
-are off by about 0.001) are compared by exact cosine.
+prefixes are at least CANDIDATES (an entry counts once for each tree that holds it).
+All entries under these prefixes are candidates, however many they are. Sketches (unit
+vectors in 8 bits a component, and how far that is off) bound the cosine of each from
+both sides; those that can be among the nearest by these bounds are compared by exact
+cosine. So the answer is exact among the candidates.
 
 The forest is one table for all vectors: (tree, hash string, entry, sketch), sorted by
 range partitions and numbered, so that any place in any tree is found by its rank. Runs
-of RUN ranks, with HALO ranks of their neighbours, are what a task holds; a string looks
-at HALO entries to either side at most. Two passes over the runs give the counts of each
-level, then the entries of the level chosen, so what is shuffled are the rows of the
-trees, the strings of the queries, and the candidates: no query visits what it does not
-share a prefix with. Vectors that occur often are one entry (with its k + 1 least ids)
-and one query.
+of RUN ranks are what a task holds (more, where there would be over MOST_RUNS of them).
+A first pass over the runs counts the entries of each level: a string counts what the run
+at its rank holds, and SHARE at most, so that a crowded place does not end the ascent for
+all trees. Both make a count less, never more, so the level chosen has no fewer candidates
+than without. In a second pass a string goes to all runs that hold entries under its prefix
+of that level, which are found by the first and the last string of each tree in each run.
+What is shuffled are the rows of the trees, the strings of the queries, and the candidates
+that the bounds leave of each run: no query visits what it does not share a prefix with.
+Vectors that occur often are one entry (with its k + 1 least ids) and one query. In a dense
+group of distinct vectors, that share their strings, each query meets the whole group in
+each tree.
 
 Effort and recall are set by TREES, PROBES and CANDIDATES, which do not depend on the
 table. On vectors without any structure recall falls as the table grows, and these are to
@@ -42,10 +49,12 @@ from pyspark.sql import functions as F
 
 from .common import settle, tune
 
-TREES, BITS, PROBES, CANDIDATES, SHORTLIST, SEED = 64, 32, 32, 6000, 128, 11
-RUN, HALO, TURNED = 16384, 256, 16
+TREES, BITS, PROBES, CANDIDATES, SEED = 64, 32, 32, 6000, 11
+RUN, SHARE, TURNED, MOST_RUNS = 16384, 512, 16, 1 << 16
 #: Rows of the sorted table that a partition should have at most about.
 PART_ROWS = 1 << 19
+#: Pairs that a task compares at once, and entries under one prefix from which they are taken as one block.
+PAIRS, BLOCK = 1 << 21, 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -108,10 +117,19 @@ class Hasher:
 
 
 def sketches(unit: np.ndarray) -> list[bytes]:
-    """Each unit vector as a scale (4 bytes) and a signed byte for each component."""
+    """Each unit vector as a scale and the length of what the sketch is off by (4 bytes each), and a signed byte for each component."""
     scale = (np.abs(unit).max(axis=1) / 127).astype("<f4")
     small = np.rint(unit / scale[:, None]).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale, small, strict=True)]
+    off = np.sqrt(((unit - small * scale[:, None].astype(float)) ** 2).sum(axis=1))
+    head = np.stack((scale, off.astype("<f4")), axis=1)
+    return [a.tobytes() + b.tobytes() for a, b in zip(head, small, strict=True)]
+
+
+def _sketched(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of sketches of one length, and what they are off by."""
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[: len(column) * len(column[0].as_py())].reshape(len(column), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
 
 
 def likeliest(cost: np.ndarray, n: int) -> list[tuple[int, ...]]:
@@ -190,15 +208,20 @@ def _segments(table: pa.Table):
 
 
 def _bounds(own: np.ndarray, strings: np.ndarray, level, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 of the sorted entries under the strings' prefixes of a level, HALO to either side at most."""
+    """First and last + 1 of the sorted entries under the strings' prefixes of a level."""
+    low, high = _prefix(strings, level, bits)
+    return np.searchsorted(own, low), np.searchsorted(own, high, side="right")
+
+
+def _prefix(strings: np.ndarray, level, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest string that share the strings' prefixes of a level."""
     rest = np.left_shift(np.int64(1), np.int64(bits) - level)
     low = strings & -rest
-    at = np.searchsorted(own, strings)
-    return np.maximum(np.searchsorted(own, low), at - HALO), np.minimum(np.searchsorted(own, low + rest - 1, side="right"), at + HALO)
+    return low, low + rest - 1
 
 
 def _counts(bits: int):
-    """For each query of a run, the entries at each level."""
+    """For each query of a run, the entries at each level, SHARE of a string at most."""
 
     def run(table: pa.Table) -> pa.Table:
         total: dict[int, np.ndarray] = {}
@@ -209,7 +232,7 @@ def _counts(bits: int):
             for level in range(bits + 1):
                 live = np.flatnonzero(start <= level)
                 low, high = _bounds(own, strings[live], np.int64(level), bits)
-                got[:, level] = np.bincount(place[live], np.maximum(high - low, 0), len(which))
+                got[:, level] = np.bincount(place[live], np.minimum(high - low, SHARE), len(which))
             for q, n in zip(which.tolist(), got, strict=True):
                 total[q] = total.get(q, 0) + n
         met = [pa.array([int(n[level]) for n in total.values()], pa.int64()) for level in range(bits + 1)]
@@ -218,28 +241,74 @@ def _counts(bits: int):
     return run
 
 
-def _candidates(bits: int):
-    """(query, entry, cosine of their sketches) for the entries under the query's prefixes of its level."""
+def _spread(spots: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int):
+    """Each string once for each run that holds entries under its prefix of its level."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            dim, tree, h, level = (np.asarray(batch.column(batch.schema.get_field_index(n))) for n in ("dim", "tree", "h", "level"))
+            low, high = _prefix(h, level.astype(np.int64), bits)
+            which, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d, t in np.unique(np.stack((dim, tree)), axis=1).T.tolist() if len(h) else []:
+                if (d, t) in spots:
+                    rows = np.flatnonzero((dim == d) & (tree == t))
+                    held, first, last = spots[d, t]
+                    a = np.searchsorted(last, low[rows])
+                    n = np.maximum(np.searchsorted(first, high[rows], side="right") - a, 0)
+                    which.append(np.repeat(rows, n))
+                    runs.append(held[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            out = batch.take(pa.array(np.concatenate(which)))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(runs))], [*out.schema.names, "run"])
+
+    return run
+
+
+def _best(query: np.ndarray, near: np.ndarray, off: np.ndarray, keep: int) -> np.ndarray:
+    """Which of the pairs, sorted by query, can be among the keep nearest of their query."""
+    out = np.ones(len(query), bool)
+    cuts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1], [True])))
+    low, high = near - off, near + off
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a > keep:
+            out[a:b] = high[a:b] >= np.partition(low[a:b], b - a - keep)[b - a - keep]
+    return out
+
+
+def _candidates(bits: int, keep: int | None):
+    """(query, entry, cosine of their sketches, what it is off by at most) for the entries of a run under the query's prefixes of its level; with keep, those that can be among the keep nearest of these."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for col, own, entries, rows, strings in _segments(table):
-            ids, level = np.asarray(col["id"]), np.asarray(col["level"])[rows].astype(np.int64)
-            low, high = _bounds(own, strings, level, bits)
-            n = np.where(np.asarray(col["from"])[rows] <= level, np.maximum(high - low, 0), 0)
-            if not n.sum():
+            ids = np.asarray(col["id"])
+            low, high = _bounds(own, strings, np.asarray(col["level"])[rows].astype(np.int64), bits)
+            met = np.flatnonzero(high > low)
+            met = met[np.argsort(ids[rows[met]], kind="stable")]
+            if not len(met):
                 continue
-            ends = np.cumsum(n)
-            at_entry = np.repeat(low - (ends - n), n) + np.arange(ends[-1])
-            met, asked = entries[at_entry], np.repeat(rows, n)
-            taken = col["sketch"].take(pa.array(np.concatenate((entries, rows))))  # of one length, so one block of bytes
-            raw = np.frombuffer(taken.buffers()[2], np.uint8, len(taken) * len(taken[0].as_py())).reshape(len(taken), -1)
-            vectors = raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
-            own_place, asked_place = at_entry, len(entries) + np.repeat(np.arange(len(rows)), n)
-            near = np.concatenate([np.einsum("ij,ij->i", vectors[own_place[i : i + 8192]], vectors[asked_place[i : i + 8192]]) for i in range(0, len(own_place), 8192)])
-            out.append((ids[asked], ids[met], near))
-        q, e, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        return pa.Table.from_arrays([pa.array(q), pa.array(e), pa.array(d, pa.float32())], names=["q", "e", "near"])
+            rows, low, n = rows[met], low[met], (high - low)[met]
+            held, held_off = _sketched(col["sketch"].take(pa.array(entries)))
+            first = np.unique(ids[rows], return_index=True)[1]
+            block = np.cumsum(np.add.reduceat(n, first)) // PAIRS  # whole queries
+            cuts = [*first[np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))].tolist(), len(rows)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                asked, asked_off = _sketched(col["sketch"].take(pa.array(rows[a:b])))
+                some = n[a:b]
+                ends = np.cumsum(some)
+                entry, place = np.repeat(low[a:b] - (ends - some), some) + np.arange(ends[-1]), np.repeat(np.arange(b - a), some)
+                near = np.empty(len(entry), np.float32)
+                for i in np.flatnonzero(some >= BLOCK).tolist():
+                    near[ends[i] - some[i] : ends[i]] = held[low[a + i] : low[a + i] + some[i]] @ asked[i]
+                few = np.flatnonzero(some[place] < BLOCK)
+                for i in range(0, len(few), 8192):
+                    at = few[i : i + 8192]
+                    near[at] = np.einsum("ij,ij->i", held[entry[at]], asked[place[at]])
+                off = asked_off[place] + held_off[entry] * (1 + asked_off[place]) + np.float32(1e-6 + 1.2e-7 * held.shape[1])  # and float arithmetic
+                query = ids[rows[a:b]][place]
+                kept = _best(query, near, off, keep) if keep else slice(None)
+                out.append((query[kept], ids[entries[entry[kept]]], near[kept], off[kept]))
+        q, e, d, o = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))
+        return pa.Table.from_arrays([pa.array(q), pa.array(e), pa.array(d, pa.float32()), pa.array(o, pa.float32())], names=["q", "e", "near", "off"])
 
     return run
 
@@ -248,8 +317,9 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_scaled, "vec_id long, dim int, v array<double>").dropDuplicates(["vec_id", "dim", "v"])
 
 
-def candidates(entries: DataFrame, asked: DataFrame, trees: int = TREES, bits: int = BITS, probes: int = PROBES, least: int = CANDIDATES) -> DataFrame:
-    """(q, e, near): the entries (id, dim, v) that the queries (id, dim, v) meet in the forest, with the cosine of their sketches."""
+def candidates(entries: DataFrame, asked: DataFrame, trees: int = TREES, bits: int = BITS, probes: int = PROBES, least: int = CANDIDATES, keep: int | None = None) -> DataFrame:
+    """(q, e, near, off): the entries (id, dim, v) that the queries (id, dim, v) meet in the forest, with the cosine of their sketches
+    and what it is off by at most; with keep, at least those that can be among the keep nearest."""
     spark = tune(entries.sparkSession)
     n, m = entries.count(), asked.count()
     means = entries.select("dim", "v").mapInArrow(_sums, "dim int, at int, s double, n long").groupBy("dim", "at").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("s")).orderBy("dim", "at").collect()  # one number for each component
@@ -266,22 +336,27 @@ def candidates(entries: DataFrame, asked: DataFrame, trees: int = TREES, bits: i
     for r in placed.groupBy("part").agg(F.sum(1 - F.col("kind")).alias("n")).orderBy("part").collect():  # one number for each partition
         ends.append((r.part, at))
         at += r.n
-    placed = placed.join(F.broadcast(spark.createDataFrame(ends, "part int, offset long")), "part").withColumn("rank", F.col("before") + F.col("offset")).withColumn("run", F.floor(F.col("rank") / RUN)).drop("part", "before", "offset")
-    runs = max(1, math.ceil(at / RUN))
-    salts = max(1, math.ceil(trees * m * probes / (16 * RUN * runs)))  # many more queries than entries: a run is dealt to several tasks
-    place = F.pmod("rank", F.lit(RUN))
-    near = F.concat(F.array("run"), F.when(place < HALO, F.array(F.col("run") - 1)).otherwise(F.array().cast("array<long>")), F.when(place >= RUN - HALO, F.array(F.col("run") + 1)).otherwise(F.array().cast("array<long>")))
-    held = placed.filter("kind = 0").withColumn("run", F.explode(near)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("rank")
-    strings = placed.filter("kind = 1").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).drop("rank")
+    placed = placed.join(F.broadcast(spark.createDataFrame(ends, "part int, offset long")), "part").withColumn("rank", F.col("before") + F.col("offset")).drop("part", "before", "offset")
+    size = max(RUN, math.ceil(at / MOST_RUNS))
+    placed = placed.withColumn("run", F.floor(F.col("rank") / size)).drop("rank")
+    salts = max(1, math.ceil(trees * m * probes / (16 * max(at, size))))  # many more queries than entries: a run is dealt to several tasks
+    held = placed.filter("kind = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    strings = placed.filter("kind = 1").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     levels = [f"c{i}" for i in range(bits + 1)]
     counted = held.unionByName(strings).drop("sketch").groupBy("run", "salt").applyInArrow(_counts(bits), "id long, " + ", ".join(f"{c} long" for c in levels)).groupBy("id").agg(*[F.sum(c).alias(c) for c in levels])
     level = F.coalesce(*[F.when(F.col(f"c{i}") >= least, F.lit(i)) for i in range(bits, -1, -1)], F.lit(0)).alias("level")
     chosen = settle(counted.select("id", level))
-    both = held.withColumn("level", F.lit(0)).unionByName(strings.join(chosen, "id"))
-    return both.groupBy("run", "salt").applyInArrow(_candidates(bits), "q long, e long, near float").groupBy("q", "e").agg(F.max("near").alias("near"))
+    spots: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for r in placed.filter("kind = 0").groupBy("dim", "tree", "run").agg(F.min("h").alias("first"), F.max("h").alias("last")).orderBy("dim", "tree", "run").collect():  # a row for each run, and one more for each tree
+        spots.setdefault((r.dim, r.tree), []).append((r.run, r.first, r.last))
+    found = {k: tuple(np.array(x, np.int64).T) for k, x in spots.items()}
+    live = strings.drop("run").join(chosen, "id", "left").withColumn("level", F.coalesce("level", F.lit(0))).filter(F.col("from") <= F.col("level")).select("dim", "tree", "h", "kind", "id", "from", "sketch", "salt", "level")
+    sent = live.mapInArrow(_spread(found, bits), _ROW + ", salt int, level int, run long")
+    both = held.withColumn("level", F.lit(0)).unionByName(sent)
+    return both.groupBy("run", "salt").applyInArrow(_candidates(bits, keep), "q long, e long, near float, off float").groupBy("q", "e").agg(F.max("near").alias("near"), F.max("off").alias("off"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, probes: int = PROBES, least: int = CANDIDATES, shortlist: int = SHORTLIST, bits: int = BITS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, probes: int = PROBES, least: int = CANDIDATES, bits: int = BITS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query among vectors (both: vec_id, embedding), without the query's own id."""
     tune(vectors.sparkSession)
     numbered = F.monotonically_increasing_id().alias("id")
@@ -290,9 +365,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
     entries = settle(few.groupBy("dim", "v").agg(F.collect_list("vec_id").alias("ids")).select(numbered, "dim", "v", "ids"))  # k + 1 ids at most
     usable = settle(_usable(queries))
     asked = settle(usable.select("dim", "v").distinct().select(numbered, "dim", "v"))
-    found = candidates(entries.select("id", "dim", "v"), asked, trees, bits, probes, least)
-    best = Window.partitionBy("q").orderBy(F.desc("near"), "e")
-    short = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max(shortlist, k + 1)).select("q", "e")
+    often = entries.select("dim", F.explode("ids").alias("vec_id")).groupBy("dim", "vec_id").count().agg(F.max("count")).first()[0] or 1
+    keep = k * often + 1  # so many entries hold k + 1 ids at least, the query's own among them
+    enough = max(least, trees * (k + 1)) * often  # an entry counts once for each tree
+    found = candidates(entries.select("id", "dim", "v"), asked, trees, bits, probes, enough, keep)
+    low, high = F.col("near") - F.col("off"), F.col("near") + F.col("off")
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(low), "e")))
+    short = ranked.withColumn("least", F.max(F.when(F.col("n") == keep, low)).over(Window.partitionBy("q"))).filter(F.col("least").isNull() | (high >= F.col("least"))).select("q", "e")
     met = short.join(entries.withColumnRenamed("id", "e"), "e").select("q", F.col("v").alias("w"), "ids").join(asked.withColumnRenamed("id", "q"), "q")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = met.select("q", dot("v", "w").alias("d"), dot("v", "v").alias("vv"), dot("w", "w").alias("ww"), F.explode("ids").alias("vec_id")).select("q", "vec_id", (F.col("d") / (F.sqrt("vv") * F.sqrt("ww"))).alias("score"))

@@ -189,6 +189,30 @@ def test_forest_candidates_are_those_of_the_level(spark):
         assert {r.e for r in got if r.q == q} == set().union(*met(level))
 
 
+def test_forest_meets_all_of_a_dense_group(spark):
+    """Distinct vectors that share all strings, more than a run holds, and closer than sketches can tell; others about them."""
+    rng = np.random.default_rng(1)
+    v = np.concatenate((rng.standard_normal(8) + 1e-5 * rng.standard_normal((1500, 8)), rng.standard_normal((500, 8))))
+    rows = [(i, x.tolist()) for i, x in enumerate(v[rng.permutation(len(v))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    want = brute_nearest(rows, [r for r in rows if r[0] % 50 == 0])
+    was, forest.RUN = forest.RUN, 500
+    try:
+        got = forest.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    finally:
+        forest.RUN = was
+    scores = {q: [-s for s, _ in w] for q, w in want.items()}
+    assert len(got) == 5 * len(want) and all(r.score == pytest.approx(scores[r.query_id][r["rank"] - 1], abs=1e-14) for r in got)
+
+
+def test_forest_meets_what_one_id_hides(spark):
+    """An id with very many vectors about the query does not take the places of others."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(7, [1.0, *(1e-3 * rng.standard_normal(3)).tolist()]) for _ in range(300)] + [(i, [1.0, 0.01 * i, 0.0, 0.0]) for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in forest.nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()] == [7, 10, 11, 12, 13]
+
+
 def test_forest_likeliest_strings():
     cost = np.array([0.5, 0.1, 0.9, 0.2])
     every = sorted(((sum(cost[list(c)]), c) for n in range(5) for c in itertools.combinations(range(4), n)))
