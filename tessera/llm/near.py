@@ -4,9 +4,13 @@ MinHash bands find the candidates: with BANDS bands of ROWS minima, a pair at 0.
 no band with a probability of 3e-6, and a more similar pair with less. Candidates are verified on the complete
 shingle sets. First each text meets the least of its band; then, where a band still has texts
 of different components, these are compared with each other, so that no verified pair is lost
-to the order of texts: inside the join, by sketches of SKETCH bits (the lowest bits of as many
-minima, of which a pair at 0.8 shares fewer than the join asks for with a probability of 3e-6),
-and what passes on the sets. Links of the SimHash operator (op2) count as well.
+to the order of texts: by sketches of SKETCH bits (the lowest bits of as many minima, of which
+a pair at 0.8 shares fewer than is asked for with a probability of 3e-6), and what passes on
+the sets, each pair in the first band that it shares. Both happen inside the tasks that hold a
+band, where no row is made of a pair: the first pass leaves the texts of a band that have a pair
+to verify, the second verifies, and gives the pairs that join components, fewer than texts. A
+band of more than TILE texts or WEIGHT shingles is cut in blocks, and each two blocks meet in a
+task of their own. Links of the SimHash operator (op2) count as well.
 
 Defined results: a text of fewer words than a shingle is one shingle; null and empty texts
 have none and link by their fingerprint only; repeated rows share a component; an empty
@@ -28,6 +32,8 @@ from .components import components
 from .simhash import simhash_groups
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SKETCH, ERRORS = 5, 0.8, 32, 5, 2048, 4.5
+#: Texts and shingles of a block of a band; texts (first pass) and shingles (second pass) that a group of bands should have at most about.
+TILE, WEIGHT, TEXTS, GRAMS = 4096, 1 << 21, 1 << 13, 1 << 22
 _ODD = np.random.default_rng(20240608).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -96,8 +102,82 @@ def _sketches(batches: Iterator[pa.RecordBatch]):
             for at in range(0, len(grams), 512):
                 np.minimum(least, T.mix(grams[at : at + 512, None] * odd).min(axis=0), out=least)
             rows.append(np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64))
-        made = np.array(rows, np.int64).reshape(-1, SKETCH // 64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(SKETCH // 64))], ["h", *(f"s{i}" for i in range(SKETCH // 64))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["h", "sketch"])
+
+
+def _compared(table: pa.Table, similarity: float, most: int, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A row, and the rows of the same band (in two blocks: of the other) that are to be verified with it here: of another
+    label, of a size and a sketch that allow it, and in no band before this. The label may change meanwhile."""
+    key, lo, hi, block, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "n"))
+    lists = lambda c: np.asarray(table.column(c).combine_chunks().flatten()).reshape(len(key), -1)
+    sketch, keys = lists("sketch").view(np.uint64), lists("keys")
+    order = np.lexsort((block, hi, lo, key))
+    place = np.stack((key, lo, hi))[:, order]
+    cuts = np.flatnonzero(np.concatenate(([True], (place[:, 1:] != place[:, :-1]).any(axis=0), [True]))) if len(order) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[a:b]
+        two = lo[rows[0]] != hi[rows[0]]
+        second = rows[block[rows] == hi[rows[0]]]
+        for k, i in enumerate(rows[: b - a - len(second)] if two else rows[:-1]):
+            js = second if two else rows[k + 1 :]
+            js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= similarity * np.maximum(n[js], n[i]) - 1e-9)]
+            js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
+            js = js[keys[i, (keys[js] == keys[i]).argmax(axis=1)] == key[i]]
+            if len(js):
+                yield i, js
+
+
+def _open(similarity: float, most: int):
+    """The rows that have others to be verified with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kept = np.zeros(len(table), bool)
+        for i, js in _compared(table, similarity, most, table.column("root").to_numpy()):
+            kept[i] = kept[js] = True
+        return table.filter(pa.array(kept)).drop_columns(["part"])
+
+    return run
+
+
+def _joined(similarity: float, most: int):
+    """(a, b): pairs of similar sets, as many as join the components that similar pairs of these rows join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams = table.column("grams").combine_chunks()
+        at, flat = np.asarray(grams.offsets), np.asarray(grams.values).view(np.uint64)
+        h, label = table.column("h").to_numpy(), table.column("root").to_numpy().copy()
+        out: list[tuple[int, int]] = []
+        for i, js in _compared(table, similarity, most, label):
+            own, n = flat[at[i] : at[i + 1]], at[js + 1] - at[js]
+            ends = np.cumsum(n)
+            theirs = flat[np.repeat(at[js] - (ends - n), n) + np.arange(ends[-1])]
+            met = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            shared = np.add.reduceat(met.astype(np.int64), ends - n)
+            for j in js[shared >= similarity * (len(own) + n - shared) - 1e-9].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((h[i], h[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _cross(left: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of similar texts of a band (key, h, n, root) that join all roots which similar texts of the bands have."""
+    share = (1 - similarity) / 2
+    most = math.ceil(SKETCH * share + ERRORS * math.sqrt(SKETCH * share * (1 - share)))
+    spread = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_parts = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(spread, math.ceil(n))))).groupBy("part")
+    blocks = left.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / WEIGHT)).alias("blocks")).filter("blocks > 1")
+    dealt = left.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "h", "n", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    schema = "key long, h long, n long, root long, block long, lo long, hi long, keys array<long>, sketch array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    whole = dealt.join(marks, "h").select(*names)
+    few = settle(in_parts(whole, left.count() / TEXTS).applyInArrow(_open(similarity, most), schema))
+    weight = few.agg(F.sum("n")).first()[0] or 0
+    return in_parts(few.join(sets, "h").select(*names, "grams"), weight / GRAMS).applyInArrow(_joined(similarity, most), "a long, b long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -115,7 +195,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups = settle(simhash_groups(docs).select("doc_id", "text_hash", F.col("root").alias("fp_root")))
     least = groups.groupBy("fp_root").agg(F.min("text_hash").alias("b"))
     by_print = groups.join(least, "fp_root").select(F.col("text_hash").alias("a"), "b").filter("a <> b").distinct()
-    entries = settle(text.mapInArrow(_keys, "h long, n long, keys array<long>")).select("h", "n", F.explode("keys").alias("key"))
+    banded = settle(text.mapInArrow(_keys, "h long, n long, keys array<long>"))
+    entries = banded.select("h", "n", F.explode("keys").alias("key"))
     met = entries.groupBy("key").agg(F.min(F.struct("h", "n")).alias("first"), F.max("h").alias("last")).filter("first.h <> last").drop("last")
     held = settle(entries.join(met, "key").distinct())
     # equal texts give equal sets: one row of each
@@ -127,12 +208,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rooted = held.select("key", "h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     left = settle(rooted.join(open_, "key"))
-    words = [f"s{i}" for i in range(SKETCH // 64)]
-    sketched = settle(left.join(sets.join(left.select("h").distinct(), "h", "left_semi").mapInArrow(_sketches, "h long, " + ", ".join(f"{w} long" for w in words)), "h"))
-    one, two = (sketched.select("key", *[F.col(c).alias(c + s) for c in ("h", "n", "root", *words)]) for s in "ab")
-    differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
-    share = (1 - similarity) / 2
-    most = math.ceil(SKETCH * share + ERRORS * math.sqrt(SKETCH * share * (1 - share)))
-    cross = one.join(two, "key").filter("roota < rootb").filter(sized(F.col("na"), F.col("nb")) & (differ <= most)).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
-    found = components(links.union(_alike(cross, sets, similarity)))
+    some = left.select("h").distinct()
+    sketched = sets.join(some, "h", "left_semi").mapInArrow(_sketches, "h long, sketch array<long>")
+    marks = sketched.join(banded.join(some, "h", "left_semi").select("h", "keys").dropDuplicates(["h"]), "h")
+    found = components(links.union(_cross(left, marks, sets, similarity)))
     return groups.join(found.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))

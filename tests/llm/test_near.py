@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 import corpus_pipeline as P
 from tessera.llm import near
 
@@ -40,6 +43,36 @@ def test_near_groups_find_chains_and_hot_groups(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in want if want[i] == k) for k in set(want.values()))
 
 
+@pytest.mark.parametrize("tile", [None, 20])
+def test_near_groups_make_no_row_for_each_pair(spark, monkeypatch, tile):
+    """Copies whose similarity lies about the limit: nearly every pair meets in some band and passes the sketches."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for i in range(200):
+        words = [f"w{k}" for k in range(1000)]
+        for k in rng.choice(1000, 13, replace=False):
+            words[k] = f"x{i}_{k}"
+        texts[i] = " ".join(words)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    want = brute_components(sorted(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert 5 < len(set(want.values())) < len(texts)
+    verified, made, alike = [], [], near._alike
+    monkeypatch.setattr(near, "_alike", lambda pairs, *rest: (verified.append(pairs.count()), alike(pairs, *rest))[1])
+    if hasattr(near, "_cross"):
+        cross = near._cross
+        monkeypatch.setattr(near, "_cross", lambda *rest: (made.append(cross(*rest)), made[-1])[1])
+    if tile:
+        monkeypatch.setattr(near, "TILE", tile, raising=False)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in near.near_groups(df).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in want if want[i] == k) for k in set(want.values()))
+    assert sum(verified) < len(texts) ** 2 / 5, verified
+    assert all(x.count() < 10 * len(texts) for x in made)
+
+
 def test_near_groups_of_awkward_rows(spark):
     assert near.near_groups(awkward(spark)).count() == awkward(spark).count()
     assert near.near_groups(empty(spark)).collect() == []
