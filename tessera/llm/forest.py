@@ -10,6 +10,11 @@ vectors in 8 bits a component, and how far that is off) bound the cosine of each
 both sides; those that can be among the nearest by these bounds are compared by exact
 cosine. So the answer is exact among the candidates.
 
+Where sketches cannot tell the members of a dense group apart, a run names no pairs but
+the blocks that hold them: entries are numbered by cells around sampled entries, so that
+a group lies in few blocks of 2 ** BLOCK_BITS numbers. Query and block meet once, not in each
+tree, all entries of the block are compared exactly, and the nearest of the block leave it.
+
 The forest is one table for all vectors: (tree, hash string, entry, sketch), sorted by
 range partitions and numbered, so that any place in any tree is found by its rank. Runs
 of RUN ranks are what a task holds (more, where there would be over MOST_RUNS of them).
@@ -21,8 +26,8 @@ of that level, which are found by the first and the last string of each tree in
 What is shuffled are the rows of the trees, the strings of the queries, and the candidates
 that the bounds leave of each run: no query visits what it does not share a prefix with.
 Vectors that occur often are one entry (with its k + 1 least ids) and one query. In a dense
-group of distinct vectors, that share their strings, each query meets the whole group in
-each tree.
+group of distinct vectors, that share their strings, each query meets the sketches of the
+whole group in each tree, but a tree makes a row for each block of it only.
 
 Effort and recall are set by TREES, PROBES and CANDIDATES, which do not depend on the
 table. On vectors without any structure recall falls as the table grows, and these are to
@@ -55,6 +60,10 @@ RUN, SHARE, TURNED, MOST_RUNS = 16384, 512, 16, 1 << 16
 PART_ROWS = 1 << 19
 #: Pairs that a task compares at once, and entries under one prefix from which they are taken as one block.
 PAIRS, BLOCK = 1 << 21, 64
+#: Numbers of a block (a power of two), entries to a cell, cells at most, and queries that meet a block in one task.
+BLOCK_BITS, CELL, MOST_CELLS, ASKED = 12, 256, 1024, 1 << 14
+#: Times the number to keep from which the pairs of a query in a tree of a run are given by their blocks.
+CROWD = 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -78,6 +87,29 @@ def _scaled(batches: Iterator[pa.RecordBatch]):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in out], pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "dim", "v"])
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v**2).sum(axis=1))[:, None]
+
+
+def _laid(pivots: dict[int, np.ndarray]):
+    """Vectors with the nearest of the pivots of their length, and a hash string around it: what is near has like keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        known: dict[int, Hasher] = {}
+        for batch in batches:
+            dims = np.asarray(batch.column(0))
+            cell, h = np.zeros(len(dims), np.int32), np.zeros(len(dims), np.int64)
+            for dim in np.unique(dims).tolist():
+                hasher = known.get(dim) or known.setdefault(dim, Hasher(dim, np.zeros(dim), 1))
+                rows = np.flatnonzero(dims == dim)
+                unit, about = _unit(_matrix(batch.column(1).take(pa.array(rows)))), pivots.get(dim, np.zeros((1, dim)))
+                cell[rows] = (unit.astype(np.float32) @ about.T.astype(np.float32)).argmax(axis=1)
+                h[rows] = hasher.strings(hasher.project(unit - about[cell[rows]]))[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(h)], ["dim", "v", "ids", "cell", "h"])
+
+    return run
+
+
 def _sums(batches: Iterator[pa.RecordBatch]):
     """Sums of the unit vectors of a part, by length and place."""
     held: dict[int, tuple[int, np.ndarray]] = {}
@@ -86,7 +118,7 @@ def _sums(batches: Iterator[pa.RecordBatch]):
         for dim in np.unique(dims).tolist():
             v = _matrix(batch.column(1).filter(pa.array(dims == dim)))
             n, s = held.get(dim, (0, 0.0))
-            held[dim] = n + len(v), s + (v / np.sqrt((v**2).sum(axis=1))[:, None]).sum(axis=0)
+            held[dim] = n + len(v), s + _unit(v).sum(axis=0)
     for dim, (n, s) in held.items():
         yield pa.RecordBatch.from_arrays([pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array(s, pa.float64()), pa.array([n] * dim, pa.int64())], ["dim", "at", "s", "n"])
 
@@ -160,8 +192,7 @@ def _hashed(centres, probes: int, query: bool, trees: int, bits: int):
                 rows = np.flatnonzero(dims == dim)
                 for at in range(0, len(rows), 128 if query else 512):
                     some = rows[at : at + (128 if query else 512)]
-                    vectors = _matrix(batch.column(2).take(pa.array(some)))
-                    unit = vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]
+                    unit = _unit(_matrix(batch.column(2).take(pa.array(some))))
                     projected = hasher.project(unit)
                     own = hasher.strings(projected)
                     if query:
@@ -274,11 +305,22 @@ def _best(query: np.ndarray, near: np.ndarray, off: np.ndarray, keep: int) -> np
     return out
 
 
+def _crowded(query: np.ndarray, entry: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs are better given by their blocks, and these (query, block): all pairs of a query, if they are many and in far fewer blocks."""
+    blocks = np.unique(np.stack((query, entry >> BLOCK_BITS)), axis=1)
+    who, pairs = np.unique(query, return_counts=True)
+    held = np.unique(blocks[0], return_counts=True)[1]
+    many = (pairs > CROWD * keep) & (2 * held <= pairs)
+    return many[np.searchsorted(who, query)], blocks[:, many[np.searchsorted(who, blocks[0])]]
+
+
 def _candidates(bits: int, keep: int | None):
-    """(query, entry, cosine of their sketches, what it is off by at most) for the entries of a run under the query's prefixes of its level; with keep, those that can be among the keep nearest of these."""
+    """(query, entry, cosine of their sketches, what it is off by at most, False) for the entries of a run under the query's prefixes of its level;
+    with keep, those that can be among the keep nearest of these, or (query, block, null, null, True) for blocks that hold them."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))]
+        whole: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
         for col, own, entries, rows, strings in _segments(table):
             ids = np.asarray(col["id"])
             low, high = _bounds(own, strings, np.asarray(col["level"])[rows].astype(np.int64), bits)
@@ -306,9 +348,54 @@ def _candidates(bits: int, keep: int | None):
                 off = asked_off[place] + held_off[entry] * (1 + asked_off[place]) + np.float32(1e-6 + 1.2e-7 * held.shape[1])  # and float arithmetic
                 query = ids[rows[a:b]][place]
                 kept = _best(query, near, off, keep) if keep else slice(None)
-                out.append((query[kept], ids[entries[entry[kept]]], near[kept], off[kept]))
-        q, e, d, o = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))
-        return pa.Table.from_arrays([pa.array(q), pa.array(e), pa.array(d, pa.float32()), pa.array(o, pa.float32())], names=["q", "e", "near", "off"])
+                found = query[kept], ids[entries[entry[kept]]], near[kept], off[kept]
+                if keep:
+                    many, blocks = _crowded(*found[:2], keep)
+                    whole.append(blocks)
+                    found = tuple(x[~many] for x in found)
+                out.append(found)
+        blocks = np.unique(np.concatenate(whole, axis=1), axis=1)
+        q, e, d, o = (np.concatenate(x) for x in zip(*out, strict=True))
+        n, m = len(q), blocks.shape[1]
+        bound = lambda x: pa.concat_arrays([pa.array(x, pa.float32()), pa.nulls(m, pa.float32())])
+        return pa.Table.from_arrays([pa.array(np.concatenate((q, blocks[0]))), pa.array(np.concatenate((e, blocks[1]))), bound(d), bound(o), pa.array(np.arange(n + m) >= n)], names=["q", "e", "near", "off", "whole"])
+
+    return run
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows, summed in the order of the components as SQL's are."""
+    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
+    return dot / (np.sqrt(aa) * np.sqrt(bb))
+
+
+def _compared(keep: int):
+    """(query, entry, cosine, what it is off by as a float): the keep nearest entries of a block for each of its queries, ties to the smaller first id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {n: table.column(n).combine_chunks() for n in table.column_names}
+        dim, kind, ids, first = (np.asarray(col[n]) for n in ("dim", "kind", "id", "first"))
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for d in np.unique(dim).tolist():
+            entries, asked = np.flatnonzero((dim == d) & (kind == 0)), np.flatnonzero((dim == d) & (kind == 1))
+            if not len(entries) or not len(asked):
+                continue
+            held = _matrix(col["v"].take(pa.array(entries)))
+            unit, step = _unit(held).T, max(1, PAIRS // len(entries))
+            for at in range(0, len(asked), step):
+                rows = asked[at : at + step]
+                query = _matrix(col["v"].take(pa.array(rows)))
+                near = _unit(query) @ unit
+                last = max(0, len(entries) - keep)
+                i, j = np.nonzero(near >= np.partition(near, last, axis=1)[:, last : last + 1] - 1e-12)  # more than sums in another order differ by
+                score = np.concatenate([_cosines(query[i[x : x + 65536]], held[j[x : x + 65536]]) for x in range(0, len(i), 65536)])
+                order = np.lexsort((ids[entries[j]], first[entries[j]], -score, i))
+                order = order[np.arange(len(i)) - np.searchsorted(i, i) < keep]  # i is sorted, before and after
+                out.append((ids[rows[i[order]]], ids[entries[j[order]]], score[order]))
+        q, e, c = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_arrays([pa.array(q), pa.array(e), pa.array(c.astype(np.float32)), pa.array(np.full(len(q), 1e-6, np.float32))], names=["q", "e", "near", "off"])
 
     return run
 
@@ -319,7 +406,8 @@ def _usable(df: DataFrame) -> DataFrame:
 
 def candidates(entries: DataFrame, asked: DataFrame, trees: int = TREES, bits: int = BITS, probes: int = PROBES, least: int = CANDIDATES, keep: int | None = None) -> DataFrame:
     """(q, e, near, off): the entries (id, dim, v) that the queries (id, dim, v) meet in the forest, with the cosine of their sketches
-    and what it is off by at most; with keep, at least those that can be among the keep nearest."""
+    and what it is off by at most; with keep, at least those that can be among the keep nearest (ties to the smaller first, which
+    entries then have), and others of their blocks."""
     spark = tune(entries.sparkSession)
     n, m = entries.count(), asked.count()
     means = entries.select("dim", "v").mapInArrow(_sums, "dim int, at int, s double, n long").groupBy("dim", "at").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("s")).orderBy("dim", "at").collect()  # one number for each component
@@ -353,7 +441,22 @@ def candidates(entries: DataFrame, asked: DataFrame, trees: int = TREES, bits: i
     live = strings.drop("run").join(chosen, "id", "left").withColumn("level", F.coalesce("level", F.lit(0))).filter(F.col("from") <= F.col("level")).select("dim", "tree", "h", "kind", "id", "from", "sketch", "salt", "level")
     sent = live.mapInArrow(_spread(found, bits), _ROW + ", salt int, level int, run long")
     both = held.withColumn("level", F.lit(0)).unionByName(sent)
-    return both.groupBy("run", "salt").applyInArrow(_candidates(bits, keep), "q long, e long, near float, off float").groupBy("q", "e").agg(F.max("near").alias("near"), F.max("off").alias("off"))
+    made = both.groupBy("run", "salt").applyInArrow(_candidates(bits, keep), "q long, e long, near float, off float, whole boolean")
+    met = made.groupBy("whole", "q", "e").agg(F.max("near").alias("near"), F.max("off").alias("off"))
+    if not keep:
+        return met.drop("whole")
+    met = settle(met)
+    pairs = met.filter("not whole").drop("whole")
+    crowds = met.filter("whole").select(F.col("e").alias("block"), "q")
+    if crowds.isEmpty():
+        return pairs
+    dealt = crowds.groupBy("block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("salts"))
+    columns = ["block", "salt", "kind", "dim", "id", "first", "v"]
+    blocks = entries.withColumn("block", F.shiftright("id", BLOCK_BITS)).join(dealt, "block").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).withColumn("kind", F.lit(0)).select(*columns)
+    comers = crowds.join(dealt, "block").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int")).join(asked.select(F.col("id").alias("q"), "dim", "v"), "q")
+    comers = comers.withColumn("kind", F.lit(1)).withColumn("first", F.lit(0).cast("long")).withColumnRenamed("q", "id").select(*columns)
+    exact = blocks.union(comers).groupBy("block", "salt").applyInArrow(_compared(keep), "q long, e long, near float, off float")
+    return pairs.union(exact).groupBy("q", "e").agg(F.min_by("near", "off").alias("near"), F.min("off").alias("off"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, probes: int = PROBES, least: int = CANDIDATES, bits: int = BITS) -> DataFrame:
@@ -362,13 +465,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
     numbered = F.monotonically_increasing_id().alias("id")
     first = Window.partitionBy("dim", "v").orderBy("vec_id")
     few = _usable(vectors).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
-    entries = settle(few.groupBy("dim", "v").agg(F.collect_list("vec_id").alias("ids")).select(numbered, "dim", "v", "ids"))  # k + 1 ids at most
+    told = settle(few.groupBy("dim", "v").agg(F.collect_list("vec_id").alias("ids")))  # k + 1 ids at most
+    n = told.count()
+    share = min(1.0, min(MOST_CELLS, n / CELL) / max(1, n))
+    pivots: dict[int, list[list[float]]] = {}
+    for r in told.filter(F.pmod(F.xxhash64("dim", "v"), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("dim", "v").limit(2 * MOST_CELLS).collect():
+        pivots.setdefault(r.dim, []).append(r.v)
+    laid = told.mapInArrow(_laid({dim: _unit(np.array(v)) for dim, v in pivots.items()}), "dim int, v array<double>, ids array<long>, cell int, h long")
+    parts, order = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / PART_ROWS)), ["dim", "cell", "h", F.xxhash64("v")]
+    entries = settle(laid.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(numbered, "dim", "v", "ids", F.array_min("ids").alias("first")))
     usable = settle(_usable(queries))
     asked = settle(usable.select("dim", "v").distinct().select(numbered, "dim", "v"))
     often = entries.select("dim", F.explode("ids").alias("vec_id")).groupBy("dim", "vec_id").count().agg(F.max("count")).first()[0] or 1
     keep = k * often + 1  # so many entries hold k + 1 ids at least, the query's own among them
     enough = max(least, trees * (k + 1)) * often  # an entry counts once for each tree
-    found = candidates(entries.select("id", "dim", "v"), asked, trees, bits, probes, enough, keep)
+    found = candidates(entries.select("id", "dim", "v", "first"), asked, trees, bits, probes, enough, keep)
     low, high = F.col("near") - F.col("off"), F.col("near") + F.col("off")
     ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(low), "e")))
     short = ranked.withColumn("least", F.max(F.when(F.col("n") == keep, low)).over(Window.partitionBy("q"))).filter(F.col("least").isNull() | (high >= F.col("least"))).select("q", "e")

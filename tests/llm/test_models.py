@@ -205,6 +205,33 @@ def test_forest_meets_all_of_a_dense_group(spark):
     assert len(got) == 5 * len(want) and all(r.score == pytest.approx(scores[r.query_id][r["rank"] - 1], abs=1e-14) for r in got)
 
 
+def test_forest_makes_no_row_for_each_pair_of_a_dense_group(spark, monkeypatch):
+    """Closer than sketches can tell, or of equal cosine: runs give few rows, and the nearest are still exact."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate((rng.standard_normal(8) + 1e-5 * rng.standard_normal((1200, 8)), rng.standard_normal((400, 8))))
+    rows = [(i, x.tolist()) for i, x in enumerate(v[rng.permutation(len(v))])]
+    rows += [(10000 + i, [c, 2 * c, 2 * c]) for i, c in enumerate((2.0 * rng.permutation(800) + 1).tolist())]  # all 1.0
+    made, run = spark.sparkContext.accumulator(0), forest._candidates
+
+    def counted(*rest):
+        inner = run(*rest)
+
+        def outer(table):
+            out = inner(table)
+            made.add(out.num_rows)
+            return out
+
+        return outer
+
+    monkeypatch.setattr(forest, "_candidates", counted)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = forest.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    want = brute_nearest(rows[:1600], [r for r in rows[:1600] if r[0] % 50 == 0])
+    assert [(r.query_id, r.vec_id) for r in got if r.query_id < 10000] == [(q, i) for q, w in sorted(want.items()) for _, i in w]
+    assert [(r.query_id, r.vec_id, r.score) for r in got if r.query_id >= 10000] == [(q, i, 1.0) for q in range(10000, 10800, 50) for i in [i for i in range(10000, 10006) if i != q][:5]]
+    assert 0 < made.value < (len(want) + 16) * forest.TREES * 24, made.value
+
+
 def test_forest_meets_what_one_id_hides(spark):
     """An id with very many vectors about the query does not take the places of others."""
     rng = np.random.default_rng(2)
