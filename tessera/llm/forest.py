@@ -306,7 +306,7 @@ def _best(query: np.ndarray, near: np.ndarray, off: np.ndarray, keep: int) -> np
 
 
 def _crowded(query: np.ndarray, entry: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the pairs are better given by their blocks, and these (query, block): all pairs of a query, if they are many and in far fewer blocks."""
+    """Which of the pairs are better given by their blocks, and these (query, block): all pairs of a query, if they are many and in at most half as many blocks."""
     blocks = np.unique(np.stack((query, entry >> BLOCK_BITS)), axis=1)
     who, pairs = np.unique(query, return_counts=True)
     held = np.unique(blocks[0], return_counts=True)[1]
