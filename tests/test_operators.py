@@ -131,3 +131,53 @@ def test_outer_joins_of_rows_in_no_order(spark):
     right = spark.sql("SELECT 1 AS r, st_box2d(-0.5D, -0.5D, 4.5D, 3.5D) AS b")
     for how, n in (("left", 400), ("semi", 20), ("anti", 380)):
         assert operators.spatial_join(left, right, "p", "b", "bounds", how=how).select("id").distinct().count() == n
+
+
+def shuffled_mb(spark, run):
+    """What run() writes to shuffles."""
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    total = lambda: sum(executors().apply(i).totalShuffleWrite() for i in range(executors().size())) / 1e6
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return total() - before
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_pairs_of_copies_are_not_shuffled(spark, how):
+    """Copies of one point meet copies of one box: four million pairs, in one cell."""
+    functions.register(spark)
+    left = spark.range(2000).selectExpr("id AS l", "IF(id = 7, NULL, st_point2d(1D, 1D)) AS p")
+    right = spark.range(2000).selectExpr("id AS r", "st_box2d(0D, 0D, 2D, 2D) AS b")
+    found = []
+    mb = shuffled_mb(spark, lambda: found.extend(operators.spatial_join(left, right, "p", "b", "bounds", how=how).agg(F.count("*"), F.count_distinct("l"), F.sum("r"), F.count("r")).first()))
+    assert found == [1999 * 2000 + (how == "left"), 1999 + (how == "left"), 1999 * 1999 * 1000, 1999 * 2000]
+    assert mb < 8
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "semi", "anti"])
+def test_join_by_other_columns_too(spark, how):
+    p, left = boxes(spark, 60, 11, "l")
+    q, right = boxes(spark, 60, 12, "r")
+    left, right = (df.union(df.filter(f"{n} < 20")) for df, n in ((left, "l"), (right, "r")))  # rows that repeat
+    p, q = p + p[:20], q + q[:20]
+    pairs = [(x[0], y[0]) for x in p for y in q if meet(x, y) and (x[0] + y[0]) % 3 == 0]
+    got = operators.spatial_join(left, right, "l_box", "r_box", F.expr("st_intersects_box2d(l_box, r_box) AND (l + r) % 3 = 0"), how=how)
+    met = {a for a, _ in pairs}
+    want = {"inner": pairs, "left": pairs + [(x[0], None) for x in p if x[0] not in met], "semi": [(x[0],) for x in p if x[0] in met], "anti": [(x[0],) for x in p if x[0] not in met]}[how]
+    assert sorted(map(tuple, got.select("l", *["r"] * (how in ("inner", "left"))).collect()), key=str) == sorted(want, key=str)
+
+
+def test_measures_and_counts_of_pairs(spark):
+    functions.register(spark)
+    left = spark.range(300).selectExpr("id AS l", "st_makeenvelope(id % 3, 0D, id % 3 + 1.5D, 1D) AS g")
+    right = spark.range(400).selectExpr("id AS r", "st_makeenvelope(id % 2, 0D, id % 2 + 1D, 1D) AS h")
+    area = lambda a, b: max(0.0, min(a % 3 + 1.5, b % 2 + 1.0) - max(a % 3, b % 2))
+    meets = lambda a, b: min(a % 3 + 1.5, b % 2 + 1.0) >= max(a % 3, b % 2)
+    got = operators.spatial_join(left, right, "g", "h", "intersects", measures={"area": F.call_function("st_area", F.call_function("st_intersection", "g", "h"))})
+    assert got.columns == ["l", "g", "r", "h", "area"]
+    assert sorted((r.l, r.r, r.area) for r in got.collect()) == [(a, b, area(a, b)) for a in range(300) for b in range(400) if meets(a, b)]
+    counts = operators.match_counts(left, right, "g", "h").selectExpr("st_xmin(g) AS x", "n").collect()
+    assert {r.x: r.n for r in counts} == {x: n for x in range(3) if (n := sum(meets(x, b) for b in range(400)))}
+    with pytest.raises(ValueError):
+        operators.spatial_join(left, right, "g", "h", how="left", measures={"one": F.lit(1)})
