@@ -218,38 +218,43 @@ def _usable(df: DataFrame, point: str) -> DataFrame:
 def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_point: str, right_point: str, k: int, cell: float) -> DataFrame:
     """For each left point the k nearest right points (POINT_2D; ties to the smaller right id), as left_id, right_id, distance, rank.
 
-    Rings of cells are searched, doubling the reach until k are found within it, so
-    each round is an equi-join on cells of the points that are still open; what is found
-    and what is open are written each round. The reach ends with the extent of all points,
-    where a search meets every right point. Rows whose point is null, empty or infinite
+    Different points are searched for, among the k rows of each different place that can be
+    found (those of the smallest ids). Rings of cells are searched, doubling the reach until k
+    are found within it, so each round is an equi-join on cells of the points that are still
+    open; what is found and what is open are written each round. The first reach is cell, or
+    less where points lie so densely that k are nearer. The reach ends with the extent of all
+    points, where a search meets every right point. Rows whose point is null, empty or infinite
     find nothing and are not found; if there are fewer than k right points, all are found;
     rows that repeat an id are points of their own; a side without points gives no rows."""
     register(left.sparkSession)
     distance = F.call_function("st_distance_point2d", left_point, right_point).alias("distance")
-    open_ = settle(_usable(left.select(left_id, left_point), left_point).withColumn("_lid", F.monotonically_increasing_id()))
-    points = settle(_usable(right.select(right_id, right_point), right_point))
+    rows = _usable(left.select(left_id, left_point), left_point)
+    open_ = settle(rows.select(left_point).distinct())
+    first = Window.partitionBy(right_point).orderBy(right_id)
+    points = settle(_usable(right.select(right_id, right_point), right_point).withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k).drop("_k"))
     extent = lambda df, p: df.agg(F.count("*").alias("n"), *[f(F.col(p)[o]).alias(f"{o}{e}") for o in "xy" for e, f in (("a", F.min), ("b", F.max))]).first()
     a, b = extent(open_, left_point), extent(points, right_point)
     total = b.n
     if not a.n or not total:
-        return open_.join(points, F.lit(False)).select(left_id, right_id, distance, F.lit(1).alias("rank"))
+        return rows.join(points, F.lit(False)).select(left_id, right_id, distance, F.lit(1).alias("rank"))
     span = max(max(a.xb, b.xb) - min(a.xa, b.xa), max(a.yb, b.yb) - min(a.ya, b.ya))
-    best = Window.partitionBy("_lid").orderBy("distance", right_id)
+    best = Window.partitionBy(left_point).orderBy("distance", right_id)
     done, size = None, float(cell)
+    if (area := (b.xb - b.xa) * (b.yb - b.ya)) > 0:
+        size = min(size, math.sqrt(area * k / total))
     while True:
         r = points.withColumn("_cx", F.floor(F.col(right_point)["x"] / size)).withColumn("_cy", F.floor(F.col(right_point)["y"] / size))
         near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         l = open_.withColumn("_n", F.explode(near)).withColumn("_cx", F.floor(F.col(left_point)["x"] / size) + F.col("_n.i")).withColumn("_cy", F.floor(F.col(left_point)["y"] / size) + F.col("_n.j")).drop("_n")  # noqa: E741
-        met = settle(l.join(r, ["_cx", "_cy"]).select("_lid", left_id, right_id, distance).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+        met = settle(l.join(r, ["_cx", "_cy"]).select(left_point, right_id, distance).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
         last = size > span  # all points have been met
         sure = met if last else met.filter(F.col("distance") <= size)  # all points within the reach have been met
-        full = sure.groupBy("_lid").count().filter(F.col("count") >= min(k, total)).select("_lid")
-        got = met.join(full, "_lid", "left_semi").select(left_id, right_id, "distance", "rank")
+        full = sure.groupBy(left_point).count().filter(F.col("count") >= min(k, total)).select(left_point)
+        got = met.join(full, left_point, "left_semi")
         done = got if done is None else done.union(got)
-        if last:
-            return done
-        old, open_ = open_, settle(open_.join(full, "_lid", "left_anti"))
-        drop(old)
-        if open_.isEmpty():
-            return done
+        if not last:
+            old, open_ = open_, settle(open_.join(full, left_point, "left_anti"))
+            drop(old)
+        if last or open_.isEmpty():
+            return rows.join(done, left_point).select(left_id, right_id, "distance", "rank")
         size *= 2

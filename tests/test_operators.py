@@ -143,6 +143,22 @@ def shuffled_mb(spark, run):
     return total() - before
 
 
+def most_joined(spark, run):
+    """The most rows that a join made while run() ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda s: [s.apply(i) for i in range(s.size())]
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = [0]
+    for e in listed(store.executionsList())[before:]:
+        values = store.executionMetrics(e.executionId())
+        for node in listed(store.planGraph(e.executionId()).allNodes()):
+            if "Join" in node.name():
+                made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in listed(node.metrics()) if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return max(made)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_pairs_of_copies_are_not_shuffled(spark, how):
     """Copies of one point meet copies of one box: four million pairs, in one cell."""
@@ -181,3 +197,24 @@ def test_measures_and_counts_of_pairs(spark):
     assert {r.x: r.n for r in counts} == {x: n for x in range(3) if (n := sum(meets(x, b) for b in range(400)))}
     with pytest.raises(ValueError):
         operators.spatial_join(left, right, "g", "h", how="left", measures={"one": F.lit(1)})
+
+
+def test_knn_join_of_copies(spark):
+    """Rows at few places: a table of all pairs in reach would have millions of rows."""
+    functions.register(spark)
+    left = spark.range(3000).selectExpr("id AS a", "st_point2d(CAST(id % 7 AS DOUBLE), 0.25D) AS ap")
+    right = spark.range(3000).selectExpr("3000 - id AS b", "st_point2d(CAST(id % 5 AS DOUBLE), 0D) AS bp")
+    found = []
+    made = most_joined(spark, lambda: found.extend(map(tuple, operators.knn_join(left, right, "a", "b", "ap", "bp", 3, 4.0).select("a", "rank", "b").collect())))
+    near = {x: sorted((((x - (3000 - j) % 5) ** 2 + 0.0625) ** 0.5, j) for j in range(1, 3001))[:3] for x in range(7)}
+    assert sorted(found) == [(i, k, j) for i in range(3000) for k, (_, j) in enumerate(near[i % 7], 1)]
+    assert made <= 9000
+
+
+def test_joins_meet_different_geometries(spark):
+    functions.register(spark)
+    left = spark.range(2000).selectExpr("id AS l", "st_makeenvelope(id % 2, 0D, id % 2 + 1, 1D) AS g")
+    right = spark.range(2000).selectExpr("id AS r", "st_makeenvelope(id % 3, 0D, id % 3 + 1, 1D) AS h")
+    n = []
+    assert most_joined(spark, lambda: n.append(operators.spatial_join(left, right, "g", "h").count())) <= 2000
+    assert n == [sum(abs(a % 2 - b % 3) < 2 for a in range(2000) for b in range(2000))]
