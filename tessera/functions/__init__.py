@@ -67,7 +67,7 @@ def st(df: DataFrame, name: str, *args: Column | str) -> Column:
 
 def documentation() -> list[tuple[str, str, str]]:
     """Name, parameters and result of each function."""
-    codes = {"g": "GEOMETRY", "d": "DOUBLE", "i": "INT", "s": "STRING", "b": "BOOLEAN", "l": "ARRAY<GEOMETRY>", "p": "POLYGON_2D", "r": "STRUCT"}
+    codes = {"g": "GEOMETRY", "d": "DOUBLE", "i": "INT", "n": "BIGINT", "s": "STRING", "b": "BOOLEAN", "l": "ARRAY<GEOMETRY>", "p": "POLYGON_2D", "r": "STRUCT"}
     jvm = [(n, ", ".join(codes[a] for a in args), "GEOMETRY" if out == "binary" else out.upper()) for n, args, out, _ in spec.FUNCTIONS if n[0] != "_"]
     jvm += [(n, "GEOMETRY", "GEOMETRY (aggregate)") for n in AGGREGATES]
     return sorted(jvm + [(n, re.sub(r"\s+", " ", p), r) for n, (p, r, _) in native.FUNCTIONS.items()])

@@ -21,7 +21,7 @@ def build(jar: str = JAR) -> str:
         made = os.path.join(tmp, "Udfs.java")
         with open(made, "w") as f:
             f.write(spec.java_source())
-        sources = [made] + [os.path.join(HERE, "java", "tessera", x) for x in ("Geo.java", "Geodesic.java", "Crs.java", "Aggregates.java")]
+        sources = [made] + [os.path.join(HERE, "java", "tessera", x) for x in ("Geo.java", "Geodesic.java", "Crs.java", "Aggregates.java", "Files.java")]
         subprocess.run(["javac", "-nowarn", "--release", "17", "-cp", jars, "-d", f"{tmp}/out", *sources], check=True)
         with zipfile.ZipFile(jar, "w", zipfile.ZIP_DEFLATED) as z:
             for folder, _, names in sorted(os.walk(f"{tmp}/out")):

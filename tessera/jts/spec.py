@@ -1,6 +1,6 @@
 """The JVM functions: SQL name, argument codes, result, Java expression over a, b, c, ...
 
-Codes: g geometry (WKB), d double, i int, s string, b boolean, l array of geometries, p POLYGON_2D, r struct, w WKB."""
+Codes: g geometry (WKB), d double, i int, n long, s string, b boolean, l array of geometries, p POLYGON_2D, r struct, w WKB."""
 
 BOX = "struct<min_x:double,min_y:double,max_x:double,max_y:double>"
 BOX_F = "struct<min_x:float,min_y:float,max_x:float,max_y:float>"
@@ -102,10 +102,14 @@ FUNCTIONS = [
     ("_st_transform_box2d", "rssb", BOX, "Geo.transformBox(a, b, c, d)"),
     ("_st_rings", "g", "binary", "Geo.rings(a)"),
     ("_st_crs_table", "i", "string", "Crs.table()"),
+    # ranges of files
+    ("_st_file_range", "snn", "binary", "Files.read(a, b, c)"),
+    ("_st_file_shapes", "ssnn", "binary", "Files.shapes(a, b, c, d)"),
+    ("_st_file_cuts", "sn", "array<bigint>", "Files.cuts(a, b)"),
 ]
 
-_JAVA = {"g": "byte[]", "d": "Double", "i": "Integer", "s": "String", "b": "Boolean", "l": "scala.collection.Seq<?>", "p": "scala.collection.Seq<?>", "r": "Row"}
-_CAST = {"d": "((Number) {0}).doubleValue()", "i": "((Number) {0}).intValue()"}
+_JAVA = {"g": "byte[]", "d": "Double", "i": "Integer", "n": "Long", "s": "String", "b": "Boolean", "l": "scala.collection.Seq<?>", "p": "scala.collection.Seq<?>", "r": "Row"}
+_CAST = {"d": "((Number) {0}).doubleValue()", "i": "((Number) {0}).intValue()", "n": "((Number) {0}).longValue()"}
 
 
 def class_name(name: str) -> str:

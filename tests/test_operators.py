@@ -1,6 +1,7 @@
 """Joins, aggregates, layout and streams against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,14 @@ def test_joins_meet_different_geometries(spark):
     n = []
     assert most_joined(spark, lambda: n.append(operators.spatial_join(left, right, "g", "h").count())) <= 2000
     assert n == [sum(abs(a % 2 - b % 3) < 2 for a in range(2000) for b in range(2000))]
+
+
+def test_sql_aggregates_of_many_rows(spark):
+    """Many copies of different squares: what is folded does not grow with the copies."""
+    functions.register(spark)
+    spark.range(160_000).selectExpr("st_makeenvelope(id % 4000 * 2D, 0D, id % 4000 * 2D + 1, 1D) AS g", "st_makeenvelope(-1D - id % 4000, 0D, 1D, 1D + id % 4000) AS w").createOrReplaceTempView("squares")
+    began = time.perf_counter()
+    got = spark.sql("SELECT st_area(st_union_agg(g)) AS u, st_ngeometries(st_union_agg(g)) AS n, st_area(st_intersection_agg(w)) AS i FROM squares").first()
+    assert tuple(got) == (4000.0, 4000, 2.0)
+    assert time.perf_counter() - began < 40
+    assert spark.sql("SELECT st_union_agg(CAST(NULL AS BINARY)) AS u FROM squares").first().u is None
