@@ -45,11 +45,15 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 def _register_aggregates(spark: SparkSession) -> None:
-    """The aggregates are registered by their own class, which the loader of added jars finds."""
+    """The aggregates are registered by their own class."""
+    kernels(spark, "Aggregates").accept(spark._jsparkSession)
+
+
+def kernels(spark: SparkSession, name: str):
+    """An object of a class of the kernels, which the loader of added jars finds, on the driver."""
     jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
-    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    made = loader.loadClass("tessera.Aggregates").getDeclaredConstructor(array(jvm.java.lang.Class, 0)).newInstance(array(jvm.java.lang.Object, 0))
-    made.accept(spark._jsparkSession)
+    loader = spark._jsparkSession.sharedState().jarClassLoader()
+    return loader.loadClass(f"tessera.{name}").getDeclaredConstructor(array(jvm.java.lang.Class, 0)).newInstance(array(jvm.java.lang.Object, 0))
 
 
 def st(df: DataFrame, name: str, *args: Column | str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import sqlite3
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions
+from ..shared import drop, remove, settle, shared_path
 from . import files, osm, shapefile
 
 DRIVERS = [
@@ -26,6 +29,9 @@ DRIVERS = [
 ]
 
 
+#: Bytes of a GeoJSON document's range, records of a shapefile's, bytes of a partition that the driver takes at a time.
+STEP, RECORDS, PART = 1 << 20, 4096, 8 << 20
+
 _BOX, _POINT = "STRUCT<min_x:DOUBLE,min_y:DOUBLE,max_x:DOUBLE,max_y:DOUBLE>", "STRUCT<x:DOUBLE,y:DOUBLE>"
 _UNIT = "pmod(xxhash64(id, seed, '{0}'), 4503599627370496) / 4503599627370496D"
 _GENERATE = f"""CREATE OR REPLACE TEMPORARY FUNCTION st_generatepoints(box {_BOX}, n BIGINT, seed BIGINT DEFAULT 0) RETURNS TABLE(point {_POINT}) RETURN
@@ -101,7 +107,8 @@ def _geojson_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _geojson(spark: SparkSession, path: str) -> DataFrame:
-    """A document is parsed by one task; its features are rows from there on."""
+    """One pass finds where a collection's features may be cut; then a task parses about a megabyte at a time. Other
+    documents (one feature or geometry, compressed ones) are parsed whole, each by one task."""
 
     def run(batches):
         import pyarrow as pa
@@ -113,7 +120,23 @@ def _geojson(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(found), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array([json.dumps(f) for f in found[at : at + 1000]], pa.string())], ["f"])
 
-    return _features(spark.read.text(path, wholetext=True).select("value").mapInArrow(run, "f string"))
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                found = json.loads("[" + data.decode().rstrip().removesuffix(",") + "]")
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(f) for f in found], pa.string())], ["f"])
+
+    whole, ranges = [], []
+    names = files.whole(spark, path).select("path")
+    for r in names.select("path", F.when(~F.lower("path").endswith(".gz"), F.call_function("_st_file_cuts", "path", F.lit(STEP))).alias("cuts")).collect():
+        if r.cuts is None:
+            whole.append(r.path)
+        else:
+            ranges += [(r.path, a, b) for a, b in zip(r.cuts, r.cuts[1:], strict=False)]
+    raw = files.dealt(spark, ranges, "path string, a bigint, b bigint").select(F.call_function("_st_file_range", "path", "a", "b").alias("data")).mapInArrow(cut, "f string")
+    return _features(raw.union(spark.read.text(whole, wholetext=True).select("value").mapInArrow(run, "f string")) if whole else raw)
 
 
 def _csv(spark: SparkSession, path: str, wkt: str) -> DataFrame:
@@ -135,31 +158,59 @@ def _shapefile(spark: SparkSession, path: str, encoding: str | None) -> DataFram
             encoding = "utf-8"
     if encoding not in ("utf-8", "iso-8859-1", "blob"):
         raise ValueError("encoding is utf-8, iso-8859-1 or blob")
-    own = shapefile.fields(files.content(spark, _side(path, ".dbf")))
+    stem = lambda p: p.rpartition(".")[0]
+    shp, dbf = ({stem(p): p for p in sorted(files.listed(spark, _side(path, x)))} for x in (".shp", ".dbf"))
+    try:
+        shx = {stem(p): (p, n) for p, n in files.listed(spark, _side(path, ".shx")).items()}
+    except Exception:
+        shx = {}
+    heads = {k: files.head(spark, p, struct.unpack("<H", files.head(spark, p, 12)[8:10])[0]) for k, p in dbf.items()}
+    own = shapefile.fields(heads[min(heads)])
     names = _unique([n for n, *_ in own] + ["geom"])
     kinds = [shapefile.spark_type(k, w, d, encoding) for _, k, w, d in own]
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, [*kinds, "binary"], strict=True))
-    shp = files.whole(spark, path).select(F.regexp_replace("path", "(?i)\\.shp$", "").alias("stem"), F.col("content").alias("shp"))
-    dbf = files.whole(spark, _side(path, ".dbf")).select(F.regexp_replace("path", "(?i)\\.dbf$", "").alias("stem"), F.col("content").alias("dbf"))
+    ranges, whole = [], []
+    for k in sorted(shp.keys() & dbf.keys()):
+        n, start, size = struct.unpack("<IHH", heads[k][4:12])
+        if k not in shx:
+            whole.append(k)
+            continue
+        if (shx[k][1] - 100) // 8 != n:
+            raise ValueError(f"{shp[k]} and {dbf[k]} differ in their numbers of records")
+        ranges += [(shp[k], shx[k][0], dbf[k], i, min(n, i + RECORDS), start + i * size, start + min(n, i + RECORDS) * size, bytearray(heads[k])) for i in range(0, n, RECORDS)]
 
     def run(batches: Iterator):
         import pandas as pd
 
+        for pdf in batches:
+            for s, d, h in zip(pdf["s"], pdf["d"], pdf["h"], strict=True):
+                rows = [[*a, g] for a, g in zip(shapefile.records(bytes(h), bytes(d), encoding), shapefile.shapes(bytes(s), 0), strict=True)]
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    def run_whole(batches: Iterator):
+        import pandas as pd
+
         for pdf in batches:
             for s, d in zip(pdf["shp"], pdf["dbf"], strict=True):
                 rows = [[*a, g] for a, g in zip(shapefile.attributes(bytes(d), encoding), shapefile.shapes(bytes(s)), strict=True)]
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return shp.join(dbf, "stem").mapInPandas(run, schema)
+    asked = files.dealt(spark, ranges, "shp string, shx string, dbf string, a bigint, b bigint, at bigint, end bigint, h binary")
+    df = asked.select(F.call_function("_st_file_shapes", "shp", "shx", "a", "b").alias("s"), F.call_function("_st_file_range", "dbf", "at", "end").alias("d"), "h").mapInPandas(run, schema)
+    if whole:  # without an index, records are found by reading all
+        content = lambda found, suffix, name: files.whole(spark, [found[k] for k in whole]).select(F.regexp_replace("path", suffix, "").alias("stem"), F.col("content").alias(name))
+        df = df.union(content(shp, "(?i)\\.shp$", "shp").join(content(dbf, "(?i)\\.dbf$", "dbf"), "stem").mapInPandas(run_whole, schema))
+    return df
 
 
 def shapefile_meta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name, shape_type, bounds, count of shapefiles, by their headers and indexes."""
+    register(spark)
     rows = []
-    for r in files.whole(spark, path).select("path", F.substring("content", 1, 100).alias("head")).collect():
+    for r in files.whole(spark, path).select("path", F.call_function("_st_file_range", "path", F.lit(0), F.least("length", F.lit(100))).alias("head")).collect():
         kind, bounds = shapefile.header(bytes(r["head"]))
         rows.append((r["path"], shapefile.SHAPES.get(kind, "UNKNOWN"), bounds, _side(r["path"], ".shx")))
-    sizes = {x.path: x.length for x in files.whole(spark, [r[3] for r in rows]).select("path", "length").collect()} if rows else {}
+    sizes = files.listed(spark, [r[3] for r in rows]) if rows else {}
     box = "struct<min_x:double,min_y:double,max_x:double,max_y:double>"
     return spark.createDataFrame([(n, t, b, (sizes[x] - 100) // 8) for n, t, b, x in rows], f"name string, shape_type string, bounds {box}, count int")
 
@@ -245,8 +296,8 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def st_write(df: DataFrame, path: str, driver: str, geom: str = "geom", srs: str | None = None, layer_name: str | None = None, geometry_type: str | None = None) -> None:
-    """Writes a table with one geometry column (GEOMETRY or POINT_2D). Parts are written by tasks; a GeoJSON document
-    and a shapefile are one file, so these are for what fits one task."""
+    """Writes a table with one geometry column (GEOMETRY or POINT_2D). Parts are written by tasks; of a GeoJSON document
+    and a shapefile, which are one file, the driver strings the parts together."""
     register(df.sparkSession)
     if driver not in {d[0] for d in DRIVERS if d[2]}:
         raise ValueError(f"driver {driver!r} can't write")
@@ -269,15 +320,60 @@ def st_write(df: DataFrame, path: str, driver: str, geom: str = "geom", srs: str
     elif driver == "GeoJSON":
         head = f'{{"type":"FeatureCollection","name":{json.dumps(layer_name or os.path.basename(path).split(".")[0])},'
         head += f'"crs":{{"type":"name","properties":{{"name":{json.dumps(srs)}}}}},' if srs else ""
-        rows = [r[0] for r in df.select(_feature(geom, others)).collect()]
-        text = head + '"features":[\n' + ",\n".join(rows) + "\n]}"
-        _put(df.sparkSession, path, text.encode())
+        texts = shared_path(df.sparkSession)
+        df.select(_feature(geom, others).alias("value")).write.option("lineSep", ",\n").text(texts)
+        files.put(df.sparkSession, path, (head + '"features":[\n').encode(), texts=texts, without=2, last=b"\n]}")
+        remove(df.sparkSession, texts)
     else:
-        rows = df.select(geom, *others).collect()
-        parts = shapefile.write([None if r[0] is None else bytes(r[0]) for r in rows], [list(r[1:]) for r in rows], others, [df.schema[c].dataType.simpleString() for c in others])
-        for suffix, data in zip((".shp", ".shx", ".dbf"), parts, strict=True):
-            _put(df.sparkSession, _side(path, suffix), data)
-        _put(df.sparkSession, _side(path, ".cpg"), b"UTF-8")
+        _write_shapefile(df.select(geom, *others), path)
+
+
+def _write_shapefile(df: DataFrame, path: str) -> None:
+    """Tasks encode RECORDS rows at a time as if these were the first; then each piece gets its place, and the driver strings them together."""
+    spark, names, kinds = df.sparkSession, df.columns[1:], [f.dataType.simpleString() for f in df.schema.fields[1:]]
+
+    def encode(part: int, rows: Iterator) -> Iterator[tuple]:
+        for seq in itertools.count():
+            some = list(itertools.islice(rows, RECORDS))
+            if not some:
+                return
+            try:
+                n, shape, bounds, shp, shx, dbf = shapefile.piece([None if r[0] is None else bytes(r[0]) for r in some], [list(r[1:]) for r in some], names, kinds)
+                yield part, seq, n, shape, list(bounds), bytearray(shp), bytearray(shx), bytearray(dbf), len(shp), None
+            except ValueError as e:
+                yield part, seq, len(some), 0, None, None, None, None, 0, str(e)
+
+    pieces = settle(spark.createDataFrame(df.rdd.mapPartitionsWithIndex(encode), "part int, seq int, n int, shape int, bounds array<double>, shp binary, shx binary, dbf binary, size bigint, error string"))
+    found = pieces.select("part", "seq", "n", "shape", "bounds", "size", "error").orderBy("part", "seq").collect()  # a row for each RECORDS rows
+    for r in found:
+        if r.error:
+            raise ValueError(r.error)
+    shapes = {r.shape for r in found} - {0}
+    if len(shapes) > 1:
+        raise ValueError("a shapefile holds one kind of shapes")
+    boxes = [r.bounds for r in found if r.shape]
+    bounds = [f(b[i] for b in boxes) for i, f in enumerate((min, min, max, max))] if boxes else None
+    places, number, offset = [], 1, 50
+    for i, r in enumerate(found):
+        places.append((r.part, r.seq, i, number, offset))
+        number, offset = number + r.n, offset + r.size // 2
+    heads = shapefile.heads(shapes.pop() if shapes else 0, bounds, number - 1, 2 * offset - 100, names, kinds)
+    at = pieces.join(F.broadcast(spark.createDataFrame(places, "part int, seq int, i bigint, number bigint, first bigint")), ["part", "seq"])
+
+    def place(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            both = [shapefile.placed(bytes(s), bytes(x), int(n), int(o)) for s, x, n, o in zip(pdf["shp"], pdf["shx"], pdf["number"], pdf["first"], strict=True)]
+            yield pd.DataFrame({"i": pdf["i"], "shp": [b[0] for b in both], "shx": [b[1] for b in both]})
+
+    placed = at.select("i", "shp", "shx", "number", "first").mapInPandas(place, "i bigint, shp binary, shx binary")
+    n, width = number - 1, struct.unpack("<H", heads[2][10:12])[0]
+    for suffix, head, rows, last, size in ((".shp", heads[0], placed, b"", 2 * offset), (".shx", heads[1], placed, b"", 8 * n), (".dbf", heads[2], at, b"\x1a", width * n)):
+        rows = rows.select("i", suffix[1:]).repartitionByRange(size // PART + 1, "i").sortWithinPartitions("i")
+        files.put(spark, _side(path, suffix), head, rows.select(suffix[1:]), last)
+    files.put(spark, _side(path, ".cpg"), b"UTF-8")
+    drop(pieces)
 
 
 def _feature(geom: str, others: list[str]) -> Column:
@@ -285,13 +381,6 @@ def _feature(geom: str, others: list[str]) -> Column:
     return F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), F.coalesce(F.call_function("st_asgeojson", geom), F.lit("null")), F.lit("}"))
 
 
-def _put(spark: SparkSession, path: str, data: bytes) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(data))
-    out.close()
-
-
 def st_read_meta(spark: SparkSession, path: str) -> DataFrame:
     """file_name, driver_short_name, driver_long_name, layers (name, feature_count, geometry_fields, fields)."""
     register(spark)

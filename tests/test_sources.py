@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import sqlite3
 import struct
 import zlib
@@ -138,3 +139,66 @@ def test_osm(spark, tmp_path):
     assert got["relation", 9].ref_roles == ["outer", ""] and got["relation", 9].ref_types == ["way", "node"] and got["relation", 9].refs == [7, 10]
     with pytest.raises(ValueError):
         osm.inflate(field(4, b"lzma"))
+
+
+def many(spark, n):
+    sources.register(spark)
+    return spark.range(0, n, 1, 3).selectExpr("CAST(id AS INT) AS id", "concat('n,]}\"', id) AS name", "id / 2D AS value", "IF(id % 50 = 7, NULL, st_point(id, -id)) AS geom")
+
+
+@pytest.mark.parametrize("name", ["m.shp", "m.geojson"])
+def test_one_file_is_not_held_whole(spark, tmp_path, name, monkeypatch):
+    """Neither the driver nor a task takes the rows or the content of a whole file; pieces and ranges get their places."""
+    monkeypatch.setattr(dispatch, "RECORDS", 32, raising=False)
+    monkeypatch.setattr(dispatch, "STEP", 5000, raising=False)
+    monkeypatch.setattr(dispatch, "PART", 10_000, raising=False)
+    path, df = str(tmp_path / name), many(spark, 1000)
+    frame, taken = type(df), []
+    collect, take = frame.collect, frame.take
+    monkeypatch.setattr(frame, "collect", lambda self: [taken.append(len(r)) or r for r in [collect(self)]][0])
+    monkeypatch.setattr("tessera.sources.files.content", lambda spark, path: b"UTF-8" if path.endswith(".cpg") else pytest.fail(f"the driver reads {path}"))
+    sources.st_write(df, path, dispatch.driver_of(path))
+    back = sources.st_read(spark, path)
+    parts = back.rdd.getNumPartitions()
+    assert max([0, *taken]) < 100 and parts > 1
+    monkeypatch.undo()
+    want = sorted((i, f'n,]}}"{i}', i / 2, None if i % 50 == 7 else f"POINT ({i} {-i if i else 0})") for i in range(1000))
+    assert sorted(tuple(r) for r in back.selectExpr("CAST(id AS INT)", "name", "CAST(value AS DOUBLE)", "st_astext(geom)").collect()) == want
+    if name == "m.shp":
+        shp, shx, dbf = (open(path[:-3] + x, "rb").read() for x in ("shp", "shx", "dbf"))
+        assert [len(shp), len(shx)] == [2 * struct.unpack(">i", x[24:28])[0] for x in (shp, shx)]
+        assert struct.unpack("<I", dbf[4:8])[0] == 1000 and struct.unpack("<4d", shp[36:68]) == (0, -999, 999, 0)
+        at = 100
+        for k in range(1000):  # each record has its number, and the index its place
+            number, size = struct.unpack(">2i", shp[at : at + 8])
+            assert number == k + 1 and struct.unpack(">2i", shx[100 + 8 * k : 108 + 8 * k]) == (at // 2, size)
+            at += 8 + 2 * size
+        assert at == len(shp)
+        meta = dispatch.shapefile_meta(spark, path).first()
+        assert meta["count"] == 1000 and meta.shape_type == "POINT"
+        os.remove(path[:-3] + "shx")
+        assert sorted(r.id for r in sources.st_read(spark, path).collect()) == list(range(1000))
+    else:
+        assert len(json.load(open(path))["features"]) == 1000
+
+
+def test_shapefile_refuses(spark, tmp_path):
+    for rows, message in (([(1, "a", 1.0, "POINT (1 2)"), (2, "b", 1.0, "LINESTRING (0 0, 1 1)")], "one kind"), ([(1, "x" * 300, 1.0, "POINT (1 2)")], "longer")):
+        with pytest.raises(ValueError, match=message):
+            sources.st_write(table(spark, rows), str(tmp_path / "r.shp"), "ESRI Shapefile")
+
+
+@pytest.mark.parametrize("text", [
+    '{"features": [{"type":"Feature","properties":{"k":1},"geometry":{"type":"Point","coordinates":[1,2]}}, \n {"type":"Feature","properties":{"k":2,"features":[1]},"geometry":null} ], "type": "FeatureCollection"}',
+    '{"type":"FeatureCollection","features":[],"features":[{"properties":{"k":1},"geometry":{"type":"Point","coordinates":[1,2]}},{"properties":{"k":2},"geometry":null}]}',
+    '﻿{"type":"FeatureCollection","a":{"features":[3]},"b":"\\"features\\":[","features":[{"properties":{"k":1,"s":"}],["},"geometry":{"type":"Point","coordinates":[1,2]}}\n,{"properties":{"k":2},"geometry":null}]}',
+])
+def test_geojson_documents(spark, tmp_path, text):
+    sources.register(spark)
+    path = tmp_path / "d.geojson"
+    path.write_text(text)
+    assert texts(sources.st_read(spark, str(path)), "k") == [(1, "POINT (1 2)"), (2, None)]
+    path.write_text('{"type":"Feature","properties":{"k":5},"geometry":{"type":"Point","coordinates":[3,4]}}')
+    assert texts(sources.st_read(spark, str(path)), "k") == [(5, "POINT (3 4)")]
+    path.write_text('{"type":"FeatureCollection","features":[ ]}')
+    assert sources.st_read(spark, str(path)).count() == 0
